@@ -7,8 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read_table
+import public_tokenizers
+
+from . import hnsw, packing, passages, quality_llr, simhash, token_planes
+from .common import Stage, read_table
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return packed.select(F.col("id").alias("doc_id"), "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens", "sequence_tokens")
+
+
+def op3_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_llr.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "quality.*")
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_digest(read_table(spark, sf_dir, "documents"), length=400)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +37,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_simhash": op8_simhash}
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "tokens")
+    path = f"{stage.root}/files"
+    token_planes.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_planes.read_digests(spark, path, stage).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_hnsw_near_dedup": op3_hnsw_near_dedup,
+    "op4_quality_llr": op4_quality_llr,
+    "op7_repeated_passages": op7_repeated_passages,
+    "op8_simhash": op8_simhash,
+    "op9_token_planes": op9_token_planes,
+}
 ORACLE_SQL: dict[str, str] = {}
