@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import hnsw, packing, passages, quality_llr, simhash, token_planes
+from . import chat, hnsw, mixing, packing, passages, quality_llr, sharding, simhash, token_planes, url_filter
 from .common import Stage, read_table
 
 
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     length = (F.octet_length("ids") / 4).cast("long").alias("length")
@@ -28,6 +36,15 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.by_bytes(read_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.interleave(read_table(spark, sf_dir, "documents"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup_digest(read_table(spark, sf_dir, "documents"), length=400)
 
@@ -44,12 +61,25 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_digests(spark, path, stage).withColumnRenamed("id", "doc_id")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    stage = Stage(spark, "chat")
+    written = stage.save(chat.format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")), "formatted")
+    return chat.read_back(written)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_hnsw_near_dedup": op3_hnsw_near_dedup,
     "op4_quality_llr": op4_quality_llr,
+    "op5_sharding": op5_sharding,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_simhash": op8_simhash,
     "op9_token_planes": op9_token_planes,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}
