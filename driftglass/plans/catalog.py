@@ -1,14 +1,20 @@
-"""Registered queries over the driver tables, each with the SQL that states the same result."""
+"""All registered queries, and the flagship."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftglass.operators.candidates import Settings, candidates
+
+from . import detection  # noqa: F401  (registers its queries)
+from .base import ORACLE_SQL, QUERIES, scored
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Candidate intervals over daily frames."""
+    z = scored(spark, sf_dir, step_s=86_400, least=10)
+    found = candidates(z, Settings(enter=1.5, leave=1.0, merge_gap=2, least=1))
+    return found.select(F.col("start").alias("start_frame"), F.col("stop").alias("stop_frame"), F.concat_ws("|", "signals").alias("signals"), "peak_z", "over_cap")
