@@ -30,16 +30,16 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: floa
 
 def as_of(rows: DataFrame, events: DataFrame, keys: list[str], width: float, forward: bool = False, strict: bool = False) -> DataFrame:
     """Adds ``e_t``, the time of the last event at or before each row's ``t`` (forward: the first at or after); strict:
-    not at ``t`` itself. Windows span one bucket of ``width``; the nearest event of the buckets beyond is carried in
+    not at ``t`` itself. Times are told apart to the microsecond. Windows span one bucket of ``width``; the nearest event of the buckets beyond is carried in
     from a table with a row per bucket."""
     side = 1 if forward else -1
     bucket = F.floor(F.col("t") / width).alias("_b")
     here = rows.withColumn("_event", F.lit(None).cast("double")).withColumn("_b", bucket)
     there = events.select(*keys, F.col("t").cast("double").alias("t")).distinct().withColumn("_event", F.col("t")).withColumn("_b", bucket)
     both = here.withColumn("_row", F.lit(True)).unionByName(there.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    order = F.col("t") if not forward else -F.col("t")
+    order = F.rint(F.col("t") * 1e6).cast("long") * side * -1
     frame = Window.partitionBy(*keys, "_b").orderBy(order)
-    span = frame.rangeBetween(Window.unboundedPreceding, -1e-9 if strict else 0)
+    span = frame.rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     near = F.max("_event").over(span) if not forward else F.min("_event").over(span)
     edges = there.groupBy(*keys, "_b").agg((F.min("t") if forward else F.max("t")).alias("_edge"))
     around = Window.partitionBy(*keys).orderBy(F.col("_b") * -side).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftglass.operators.candidates import Settings, candidates
 
-from . import detection  # noqa: F401  (registers its queries)
+from . import detection, masking, matching  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES, scored
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

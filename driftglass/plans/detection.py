@@ -89,7 +89,7 @@ def union_length(spark, sf):
     return R.union_length(iv, ["o_custkey"]).withColumn("length", F.col("length").cast("long"))
 
 
-FLAGS = f"{SCORED}, byframe AS (SELECT frame, bool_or(z > 2.0) AS enter, bool_or(z > 1.0) AS leave, count(*) FILTER (z > 2.0) AS n_enter FROM scored WHERE z IS NOT NULL GROUP BY frame)"
+FLAGS = f"{SCORED}, byframe AS (SELECT frame, bool_or(z > 2.0) AS enter, bool_or(z > 1.0) AS leave, count(*) FILTER (z > 1.0) AS n_enter FROM scored WHERE z IS NOT NULL GROUP BY frame)"
 CANDS = f"{FLAGS}, ci AS (SELECT *, frame - row_number() OVER (ORDER BY frame) AS g FROM byframe WHERE leave), ch AS (SELECT min(frame) AS start, max(frame) + 1 AS stop FROM ci GROUP BY g HAVING bool_or(enter)), cm AS (SELECT *, CASE WHEN start - max(stop) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 3 THEN 0 ELSE 1 END AS new FROM ch), cr AS (SELECT *, sum(new) OVER (ORDER BY start) AS run FROM cm), spans AS (SELECT min(start) AS start, max(stop) AS stop FROM cr GROUP BY run HAVING max(stop) - min(start) >= 2)"
 HITS = f"{CANDS}, pairs AS (SELECT s.start, s.stop, z.signal FROM spans s JOIN scored z ON z.frame >= s.start AND z.frame < s.stop AND z.z > 2.0 GROUP BY 1, 2, 3)"
 
@@ -103,7 +103,7 @@ def candidates_query(spark, sf):
 @query("combine_k_of_n", f"WITH {FLAGS} SELECT frame, n_enter FROM byframe WHERE n_enter >= 2")
 def combine_k_of_n(spark, sf):
     z = scored(spark, sf).where("z is not null")
-    return z.groupBy("frame").agg(F.count_if(F.col("z") > ENTER).alias("n_enter")).where("n_enter >= 2")
+    return z.groupBy("frame").agg(F.count_if(F.col("z") > LEAVE).alias("n_enter")).where("n_enter >= 2")
 
 
 @query("flag_rates", f"WITH {SCORED}, d AS (SELECT count(DISTINCT frame) AS n FROM scored WHERE z IS NOT NULL), p AS (SELECT signal, count(*) FILTER (z > 2.0) AS k FROM scored WHERE z IS NOT NULL GROUP BY 1), u AS (SELECT count(DISTINCT frame) FILTER (z > 2.0) AS k FROM scored WHERE z IS NOT NULL), c AS (SELECT count(*) AS k FROM (SELECT frame FROM scored WHERE z > 2.0 GROUP BY frame HAVING count(*) >= 2)) SELECT signal AS scope, round(k / n::DOUBLE, 6) AS rate FROM p, d UNION ALL SELECT 'union', round(k / n::DOUBLE, 6) FROM u, d UNION ALL SELECT 'combined', round(k / n::DOUBLE, 6) FROM c, d")
@@ -219,7 +219,7 @@ def valid_segments(spark, sf):
     return found.withColumn("n", F.col("stop") - F.col("start")).where("n >= 24")
 
 
-@query("grid_convert", "SELECT event_id, (us // 10000)::BIGINT AS frame, ((us // 10000) + 0.5) * 0.01 - 1700000000 AS centre, round_even(us * 1e-6 * 0.0244140625, 0)::BIGINT AS sample, ceil(us * 1e-6 * 0.0244140625 - 1e-6)::BIGINT AS first_sample FROM (SELECT event_id, epoch_us(ts) AS us FROM events)")
+@query("grid_convert", "SELECT event_id, (us // 10000)::BIGINT AS frame, ((us // 10000)::DOUBLE + 0.5) * 0.01::DOUBLE - 1700000000 AS centre, round_even(us * 1e-6 * 0.0244140625, 0)::BIGINT AS sample, ceil(us * 1e-6 * 0.0244140625 - 1e-6)::BIGINT AS first_sample FROM (SELECT event_id, epoch_us(ts) AS us FROM events)")
 def grid_convert(spark, sf):
     """Times to the 10 ms grid and to a sampling rate: floor, half-even and ceiling with a tolerance."""
     from .base import events
