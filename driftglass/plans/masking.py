@@ -117,7 +117,7 @@ def peri_event_spans(spark, sf):
 def gated_mask(spark, sf):
     """Windows around events, only where the signal inside them exceeds a level."""
     s = of_type(spark, sf, "signup").select("event_id", (F.col("t") - 300).alias("start"), (F.col("t") + 300).alias("stop"))
-    c = of_type(spark, sf, "click").select(F.col("t").alias("r_start"), (F.col("t") + 1e-7).alias("r_stop"), "value")
+    c = of_type(spark, sf, "click").select(F.col("t").alias("r_start"), (F.col("t") + 1e-6).alias("r_stop"), "value")
     return overlap_join(s, c, [], 3600.0).groupBy("event_id").agg(F.round(F.max("value"), 6).alias("top")).where("top > 60")
 
 
