@@ -80,6 +80,17 @@ def _asked(fps: DataFrame, balls: list[tuple[int, int, int, int]]) -> DataFrame:
     return spread.where(value.bitwiseAND(low) == 0).select("fp", "q.flip", (F.col("q.s") * (1 << 40) + value.bitwiseXOR(F.col("q.flip"))).alias("key"))
 
 
+def cheapest_parts(n: int, max_distance: int) -> int:
+    """The number of parts with the least work for ``n`` fingerprints: questions asked, and a twentieth of one for each
+    chance match of a question. Any number gives the same links."""
+
+    def cost(segments: int) -> float:
+        asked = len(_balls(segments, max_distance // segments)) / 2 + segments / 2
+        return asked * (1 + 0.05 * n / 2 ** (BITS / segments))
+
+    return min((m for m in range(2, 9) if max_distance // m <= 2 or m == 8), key=cost)
+
+
 def _tile(max_distance: int):
     def tile(rows: pa.Table) -> pa.Table:
         fp, asks = rows["fp"].to_numpy().view(np.uint64), rows["asks"].to_numpy(zero_copy_only=False)
@@ -96,6 +107,11 @@ def _tile(max_distance: int):
                 label = lower
             hit = of_asked < far
             ends = [(asked[hit], kept[of_asked[hit]]), (kept, kept[label])]
+            # and each one's nearest other, the likeliest of its links to hold if texts are compared
+            nearest = [np.argmin(d + 65 * (d == 0), axis=1) for d in (np.bitwise_count(asked[i : i + TILE, None] ^ kept[None, :]).astype(np.int16) for i in range(0, len(asked), TILE))]
+            best = np.concatenate(nearest)
+            close = near[np.arange(len(asked)), best]
+            ends.append((asked[close], kept[best[close]]))
         a, b = (np.concatenate([x[i] for x in ends]).view(np.int64) if ends else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
@@ -103,7 +119,8 @@ def _tile(max_distance: int):
 
 
 def near_pairs(fps: DataFrame, stage: Stage, max_distance: int = 4, segments: int = 3, dense: int = 64) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints ``fp`` whose closure is that of all pairs within ``max_distance``."""
+    """Links ``(a, b)`` between distinct fingerprints ``fp`` whose closure is that of all pairs within ``max_distance``;
+    all such pairs, where no part is shared by over ``dense`` fingerprints."""
     index = _asked(fps, [(s, shift, mask, 0) for s, shift, mask, flip in _balls(segments, 0)]).drop("flip")
     asked = _asked(fps, _balls(segments, max_distance // segments))
     crowded = stage.save(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense), "crowded")
@@ -138,5 +155,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(table, "fp").select(id_col, "fp", "component_id")
 
 
+def _shingle_sets(width: int):
+    """The distinct hashes of each text's shingles, sorted."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        out = []
+        for text in texts.cast(pa.large_binary()).to_pylist():
+            words = (text or b"").lower().split()
+            grams = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else ()
+            out.append(np.sort(np.fromiter(grams, np.uint64, len(grams))).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return F.arrow_udf(of, "array<long>")
+
+
+def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = x.values.to_numpy(), y.values.to_numpy()
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / max(1, len(x) + len(y) - both))
+    return pa.array(out, pa.float64())
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, coarse: int = 2, max_distance: int = 8) -> DataFrame:
+    """One row per input row with an id: the id and ``component_id``, linking texts whose sets of ``shingle``-word
+    shingles have at least this Jaccard similarity.
+
+    Fingerprints of ``coarse``-word shingles move less when a word changes: pairs within ``max_distance`` of these are
+    candidates, and each candidate's similarity is computed from the whole texts. Rows of equal fingerprint are one
+    node, represented by the smallest id. In families so large that not all pairs are listed, each member is compared
+    with its nearest and with the family's first.
+    """
+    stage = Stage(docs.sparkSession, "similar")
+    marked = stage.save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), coarse).alias("fp")), "fingerprints")
+    nodes = stage.save(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    n = nodes.count()
+    segments = cheapest_parts(n, max_distance)
+    near = stage.save(near_pairs(nodes.select("fp"), stage, max_distance, segments, 64 + int(4 * n / 2 ** (BITS // segments))).distinct(), "pairs")
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("least").alias("_id"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ends, "_id").dropDuplicates(["fp"])
+    sets = stage.save(texts.select("fp", _shingle_sets(shingle)("_text").alias("s")), "shingles")
+    compared = near.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    links = stage.save(compared.where(F.arrow_udf(_similarity, "double")("x", "y") >= similarity).select("a", "b"), "links")
+    roots = connected_components(links, stage)
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    table = stage.save(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    return marked.join(table, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -87,3 +87,36 @@ def test_dense_parts_are_tiled(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
+
+
+def test_similar_documents(spark):
+    rng = random.Random(11)
+    words = [f"wörd{i}" for i in range(400)]
+    base, rows = [rng.choices(words, k=300) for _ in range(6)], []
+    for i in range(90):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 3, 40])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t), "en"))
+    rows += [(100 + i, " ".join(rng.choices(words, k=200)), "en") for i in range(20)]
+    rows += [(None, rows[0][1], "en"), (200, None, "en"), (201, "", "en"), (202, "short text", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    sets = {i: grams(t or "") for i, t, _ in rows if i is not None}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in sets}
+
+
+def test_parts_follow_the_size():
+    assert simhash.cheapest_parts(10**5, 8) > simhash.cheapest_parts(10**9, 8) >= 2
