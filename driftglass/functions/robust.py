@@ -33,6 +33,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Population correlation, null where a side does not vary."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def median(x: Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftglass.functions.robust import ratio
+from driftglass.functions.robust import correlation, ratio
 from driftglass.operators import runs as R
 from driftglass.operators.candidates import candidates, cores
 from driftglass.operators.joins import as_of, nearest, overlap_join
@@ -163,7 +163,7 @@ def contact_quality(spark, sf):
     """For each channel the other with the largest absolute correlation over common frames."""
     f = frames(spark, sf)
     b = f.select("frame", F.col("signal").alias("b"), F.col("rms").alias("y"))
-    pairs = f.join(b, "frame").where("signal < b").groupBy("signal", "b").agg(F.corr("rms", "y").alias("r"), F.count("*").alias("n"))
+    pairs = f.join(b, "frame").where("signal < b").groupBy("signal", "b").agg(correlation(F.col("rms"), F.col("y")).alias("r"), F.count("*").alias("n"))
     both = pairs.select("signal", F.col("b").alias("other"), "r", "n").union(pairs.select("b", "signal", "r", "n"))
     best = both.groupBy("signal").agg(F.min(F.struct((-F.abs("r")).alias("k"), "other", "r", "n")).alias("m"))
     return best.select("signal", "m.other", F.round("m.r", 6).alias("r"), "m.n")
