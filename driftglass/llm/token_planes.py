@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,17 +86,31 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "none").parquet(path)
 
 
+def _times(operator: list[int], crc: int) -> int:
+    out = 0
+    for column in operator:
+        if crc & 1:
+            out ^= column
+        crc >>= 1
+    return out
+
+
+@cache
+def _zeros(power: int) -> list[int]:
+    """The operator that carries a CRC-32 over 2**power zero bits, as 32 columns."""
+    if not power:
+        return [0xEDB88320, *(1 << i for i in range(31))]  # CRC-32's polynomial, reflected
+    half = _zeros(power - 1)
+    return [_times(half, column) for column in half]
+
+
 def combined(first: int, second: int, size: int) -> int:
     """The CRC-32 of two byte strings in a row from theirs and the second's size: the first is carried over ``size``
-    zero bytes by squaring the operator of one zero bit."""
-    times = lambda m, v: np.bitwise_xor.reduce(m[np.flatnonzero([v >> i & 1 for i in range(32)])], initial=0).item()
-    operator = np.array([0xEDB88320, *(1 << i for i in range(31))], np.int64)  # CRC-32's polynomial, reflected
+    zero bytes."""
     bits = 8 * size
-    while bits:
-        if bits & 1:
-            first = times(operator, first)
-        operator = np.array([times(operator, int(x)) for x in operator], np.int64)
-        bits >>= 1
+    for power in range(bits.bit_length()):
+        if bits >> power & 1:
+            first = _times(_zeros(power), first)
     return first ^ second
 
 

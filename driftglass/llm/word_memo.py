@@ -1,61 +1,103 @@
 """Token ids by the tokenizers library, with each distinct word encoded once in a worker.
 
 Both public vocabularies used here split a text before white space that follows a word, whatever stands around it, so
-the ids of a text are those of its words in a row. A word is looked up, and the library encodes the words not yet seen.
+the ids of a text are those of its words in a row. A word is looked up; a new one is cut into the vocabulary's
+pre-tokens, and the library's model encodes those not yet seen. Words with characters beyond Latin letters, where
+normalisation needs more care, are encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+from collections.abc import Callable
+
+import numpy as np
 
 _WORD_STARTS = re.compile(r"(?<=\S)(?= )")
 #: White space before a space: there the space does not follow a word. These are all characters that ``\s`` matches.
 _ODD = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
-_MEMO: dict[tuple[str, bool], WordMemo] = {}
+#: Words are remembered up to this many; then the older generation is let go.
+MOST = 400_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others for
+    the code points from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Generations(dict):
+    """A dict that computes what it lacks, and keeps what was in use when it last grew too large."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.compute(word)
+        self[word] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > MOST:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordMemo:
-    """``spaced``: a word's ids depend on the space before it (byte-level vocabularies); else white space is dropped."""
+    """``spaced``: a word's ids depend on the space before it (byte-level vocabularies); else white space is dropped
+    and letters are lower-cased."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 300_000):
+    def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
-        self.spaced, self.most = spaced, most
-        self.plain: dict[str, bytes] = {"": b""}
-        self.after_space: dict[str, bytes] = {}
-
-    def _fill(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
-        import numpy as np
-
-        if len(memo) > self.most:
-            memo.clear()
-            if memo is self.plain:
-                memo[""] = b""
-        new = [w for w in words if w not in memo]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
-            memo[word] = np.array(found.ids, "<u4").tobytes()
-
-    def _look(self, memo: dict[str, bytes], words: list[str], before: str = "") -> bytes:
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            self._fill(memo, set(words), before)
-            return b"".join(map(memo.__getitem__, words))
+        self.spaced, self.model, self.letters = spaced, self.tokenizer.model, _byte_letters()
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)["pre_tokenizer"].get("pretokenizers", [])
+        split = [p["pattern"]["Regex"] for p in parts if p["type"] == "Split"]
+        self.cut = regex.compile(split[0] if split else public_tokenizers.PATTERN).findall
+        self.pre_tokens = _Generations(self._pre_token)
+        self.words = _Generations(self._word)
+        self.after_space = _Generations(lambda word: self._word(" " + word))
+
+    def _pre_token(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if not word.isascii() and (max(word) >= "ɐ" or not unicodedata.is_normalized("NFC", word)):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.pre_tokens.__getitem__, self.cut(word if self.spaced else word.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        for memo in (self.pre_tokens, self.words, self.after_space):
+            memo.trim()
         if not self.spaced:
-            return self._look(self.plain, text.replace("\n", " ").replace("\t", " ").split(" "))
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         if any(x in text for x in _ODD):
-            return self._look(self.plain, _WORD_STARTS.split(text))
+            return b"".join(map(self.words.__getitem__, _WORD_STARTS.split(text)))
         words = text.split(" ")
-        return self._look(self.plain, words[:1]) + self._look(self.after_space, words[1:], " ")
+        return self.words[words[0]] + b"".join(map(self.after_space.__getitem__, words[1:]))
+
+
+_MEMO: dict[tuple[str, bool], WordMemo] = {}
 
 
 def memo_for(path: str, spaced: bool) -> WordMemo:
