@@ -39,11 +39,17 @@ def suppress(rows: DataFrame, keys: list[str], at: str, strength: str, least: fl
 
 
 def holm(tests: DataFrame, family: list[str], p: str, alpha: float, ties: list[str]) -> DataFrame:
-    """Adds ``rejected``: step-down at alpha / (m - rank), stopping at the first failure of a family."""
-    w = Window.partitionBy(*family)
-    ranked = tests.withColumn("_i", F.row_number().over(w.orderBy(p, *ties))).withColumn("_m", F.count("*").over(w))
-    passed = F.col(p) <= alpha / (F.col("_m") - F.col("_i") + 1)
-    return ranked.withColumn("rejected", F.coalesce(F.bool_and(passed).over(w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))).drop("_i", "_m")
+    """Adds ``rejected``: step-down at alpha / (m - rank), stopping at the first failure of a family. No bar is above
+    alpha, so only the tests at or below it are ranked; the others are counted and pass by."""
+    counts = tests.groupBy(*family).agg(F.count("*").alias("_m"))
+    small = tests.where(F.col(p) <= alpha)
+    ranked = small.join(counts, family) if family else small.withColumn("_m", counts.scalar())
+    w = Window.partitionBy(*family).orderBy(p, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_i", F.row_number().over(Window.partitionBy(*family).orderBy(p, *ties)))
+    passed = F.bool_and(F.col(p) <= alpha / (F.col("_m") - F.col("_i") + 1)).over(w)
+    judged = ranked.withColumn("rejected", F.coalesce(passed, F.lit(False))).drop("_i", "_m")
+    rest = tests.where(F.coalesce(F.col(p) > alpha, F.lit(True))).withColumn("rejected", F.lit(False))
+    return judged.select(*tests.columns, "rejected").unionByName(rest)
 
 
 def best_threshold(rows: DataFrame, steps: int) -> DataFrame:

@@ -22,7 +22,7 @@ def marks(spark, sf):
     """Merged two-hour marks after large purchases."""
     start = F.expr("us div 3600000000")
     raw = events(spark, sf).where("event_type = 'purchase' and value > 100").select(start.alias("start"), (start + 2).alias("stop")).distinct()
-    return R.merge_intervals(raw, []).select(F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
+    return R.merge_intervals(raw, [], block=R.BLOCK).select(F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
 
 
 def hyst(spark, sf):

@@ -21,7 +21,7 @@ def content_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
     """(path, length, sha256), hashing only files whose length another file shares; others have a null hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     shared = files.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
-    hashed = files.join(F.broadcast(shared), "length", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+    hashed = files.join(shared, "length", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
     return files.select("path", "length").join(hashed, "path", "left")
 
 
