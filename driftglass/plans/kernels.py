@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driftglass.functions import distributions
+from driftglass.operators import detectors as D
 from driftglass.operators import learning as L
+from driftglass.operators import runs as R
 from driftglass.operators import signal as K
 
-from .base import query, scored, table
+from .base import LOGS, query, scored, table
 from .metrics import labelled
 
 RATE = 24.0  # frames a day
@@ -108,3 +111,40 @@ def scan_files(spark, sf):
     from driftglass.sources.files import listing
 
     return listing(spark, sf, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@query("spike_train")
+def spike_train(spark, sf):
+    """Excursions beyond two robust sigmas, by stretches of 240 frames."""
+    return D.per_stretch(filled(spark, sf), ["signal"], "frame", "x", lambda x: D.spikes(x, 2.0, 3), chunk=240, halo=24)
+
+
+@query("template_trains")
+def template_trains(spark, sf):
+    """Frames whose surroundings look like the mean peak of their stretch."""
+    find = lambda x: D.template_train(x, D.spikes(x, 1.5, 6), 3, 0.75, 6)
+    return D.per_stretch(filled(spark, sf), ["signal"], "frame", "x", find, chunk=240, halo=24)
+
+
+@query("injection_harm")
+def injection_harm(spark, sf):
+    """Peaks kept, lost and added when a bump is added every 60 frames, per signal and stretch."""
+
+    def apply(key: tuple, rows: pa.Table) -> pa.Table:
+        x = rows.sort_by("frame")["x"].drop_null().to_numpy()
+        kept, lost, added = D.harm(x, np.hanning(7), np.arange(20, len(x), 60), 0.3, 4, 1) if len(x) > 30 else (0, 0, 0)
+        return pa.table({"signal": [key[0].as_py()], "part": [key[1].as_py()], "kept": [kept], "lost": [lost], "added": [added]})
+
+    rows = filled(spark, sf).withColumn("part", F.expr("frame div 240"))
+    return rows.groupBy("signal", "part").applyInArrow(apply, "signal string, part long, kept long, lost long, added long")
+
+
+@query("half_height_width", f"WITH {LOGS}, t AS (SELECT signal, max_by(frame, (x, -frame)) AS peak, max(x) AS top, min(x) AS low FROM logs GROUP BY 1), f AS (SELECT l.signal, l.frame FROM logs l JOIN t USING (signal) WHERE x >= low + (top - low) / 2), g AS (SELECT *, frame - row_number() OVER (PARTITION BY signal ORDER BY frame) AS g FROM f), r AS (SELECT signal, min(frame) AS start, max(frame) + 1 AS stop FROM g GROUP BY signal, g) SELECT r.signal, r.start, r.stop - r.start AS width FROM r JOIN t ON t.signal = r.signal AND t.peak >= r.start AND t.peak < r.stop")
+def half_height_width(spark, sf):
+    """The run at or above half height that holds the highest frame."""
+    x = scored(spark, sf).select("signal", "frame", "x")
+    t = x.groupBy("signal").agg(F.max(F.struct("x", (-F.col("frame")).alias("f"))).alias("m"), F.min("x").alias("low"))
+    t = t.select("signal", (-F.col("m.f")).alias("peak"), F.col("m.x").alias("top"), "low")
+    high = x.join(t, "signal").where(F.col("x") >= F.col("low") + (F.col("top") - F.col("low")) / 2).select("signal", "frame")
+    found = R.true_runs(high, ["signal"], "frame").join(t, "signal").where("peak >= start and peak < stop")
+    return found.select("signal", "start", (F.col("stop") - F.col("start")).alias("width"))

@@ -65,3 +65,16 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     stream.to_table(hours, str(tmp_path / "rates"), str(tmp_path / "c2"), mode="update").awaitTermination()
     last = spark.read.parquet(str(tmp_path / "rates")).groupBy("start", "event_type").agg(F.max_by("n", "version").alias("n"))
     assert last.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_versions(spark, tmp_path):
+    from driftglass.sources import versions
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    assert versions.table_hash(rows) == versions.table_hash(rows.orderBy("k", ascending=False)) != versions.table_hash(rows.where("k = 1"))
+    root, settings = str(tmp_path / "t"), {"enter": 3.0, "cap": None}
+    assert versions.write_version(rows, root, settings) == versions.version_of({"enter": 3.0})
+    versions.write_version(rows.limit(0), root, settings)
+    assert versions.read_version(spark, root, settings).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        versions.read_version(spark, root, {"enter": 2.0})

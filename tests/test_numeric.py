@@ -67,3 +67,21 @@ def test_exact_bounds():
 def test_poisson_binomial(spark):
     row = spark.range(1).select(D.poisson_binomial(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("d")).first()
     assert row.d == pytest.approx([0.045, 0.455, 0.455, 0.045])
+
+
+def test_detectors():
+    from driftglass.operators import detectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=1000) * 0.1
+    at = np.arange(50, 950, 90)
+    for i in at:
+        x[i - 3 : i + 4] += np.hanning(7) * 3
+    x[500:505] = np.nan
+    assert set(at.tolist()) - set(detectors.spikes(x, 10.0, 10).tolist()) <= {500}
+    found = detectors.template_train(x, at[:4], 5, 0.8, 20)
+    assert set(at.tolist()) - {500} <= set(found.tolist()) and len(found) <= len(at)
+    clean = np.sin(np.arange(400) / 5)
+    kept, lost, added = detectors.harm(clean, np.zeros(5), np.array([10, 50]), 0.5, 5, 1)
+    assert kept > 10 and (lost, added) == (0, 0)
+    assert detectors.harm(clean, np.hanning(9) * 9, np.arange(0, 390, 40), 0.5, 5, 1)[2] > 0
