@@ -22,7 +22,9 @@ from .common import Stage
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.4
+THRESHOLD = -0.15
+#: Counts that each bucket has before any document: rare n-grams say little.
+PRIOR = 10
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -98,13 +100,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row with ``llr``: log target - log raw of each bucket. The raw multinomial has one count more a bucket, the
-    target the same in its own scale: (target R / T + 1) / (raw + 1) for totals R and T, so that few labels or few
-    documents move no score by themselves."""
+    """One row with ``llr``: log target - log raw of each bucket. The raw multinomial has ``PRIOR`` counts more a bucket,
+    the target as many in its own scale: (target R / T + PRIOR) / (raw + PRIOR) for totals R and T, so that few labels
+    or few documents move no score by themselves."""
     counts = gram_counts(docs, trusted_ids(labels), id_col, text_col)
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
     row = dense.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
-    ratio = lambda x: F.when(F.col("t") == 0, 0.0).otherwise(F.log(x["target"] * F.col("r") / F.col("t") + 1) - F.log(x["raw"] + F.lit(1)))
+    ratio = lambda x: F.when(F.col("t") == 0, 0.0).otherwise(F.log(x["target"] * F.col("r") / F.col("t") + PRIOR) - F.log(x["raw"] + F.lit(PRIOR)))
     return stage.save(row.select(F.transform("c", ratio).alias("llr")), "model")
 
 

@@ -61,7 +61,7 @@ def test_judge_matches_brute_force(spark):
         assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == counts
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
         buckets = of(r.text)
-        score = sum(math.log(target[x] * n / m + 1) - math.log(raw[x] + 1) for x in buckets) / max(1, len(buckets))
+        score = sum(math.log(target[x] * n / m + quality_llr.PRIOR) - math.log(raw[x] + quality_llr.PRIOR) for x in buckets) / max(1, len(buckets))
         assert q.base_failed == failed and q.score == pytest.approx(score, abs=1e-9)
         assert q.kept == (not failed and q.score >= quality_llr.THRESHOLD)
     clean = [r for r in found if r.text and r.text.startswith("gut") and not r.quality.base_failed]
