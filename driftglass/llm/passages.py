@@ -156,19 +156,19 @@ def _joined(raw: np.ndarray, parts: list, parser: Parser):
     return data, at(0), at(6), (begin + at(3), begin + at(4), begin + at(5), begin, begin + sizes)
 
 
-def _folded(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, seen): for each distinct (s, g) one row is kept; seen is 2 where the task has it more than once."""
-    order = np.lexsort((rows["g"], rows["s"]))
-    s, g = rows["s"][order], rows["g"][order]
-    new = np.ones(len(s), bool)
+def _folded(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kept, told, seen): for each distinct (s, g) one row is kept; told are the others, a text's own repeats of a row
+    (copies of the text) once; seen is 2 where the task has (s, g) more than once."""
+    order = np.lexsort((rows["start"], rows["th"], rows["g"], rows["s"]))
+    s, g, th, start = (rows[k][order] for k in ("s", "g", "th", "start"))
+    new, same = np.ones(len(s), bool), np.zeros(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
+    same[1:] = ~new[1:] & (th[1:] == th[:-1]) & (start[1:] == start[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(s)))
     seen = np.empty(len(s), np.int64)
     seen[order] = np.repeat(np.minimum(count, 2), count)
-    kept = np.zeros(len(s), bool)
-    kept[order[first]] = True
-    return kept, seen
+    return order[new], order[~new & ~same], seen
 
 
 KEYED = "s long, g long, th long, run long"
@@ -177,14 +177,13 @@ _START, _COUNT, _SEEN = 19, 3, 1
 
 
 def _emit(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    kept, seen = _folded(rows)
+    kept, told, seen = _folded(rows)
     run = rows["start"].astype(np.int64) << _START | rows["count"] << _COUNT | seen << _SEEN
     # the kept row speaks for all; others that repeat here are marked at once and need no company
     yield _batch(rows["s"][kept], rows["g"][kept], rows["th"][kept], run[kept])
-    rest = ~kept
-    if rest.any():
-        own = _mixed(rows["th"][rest].view(np.uint64) + rows["start"][rest].astype(np.uint64))
-        yield _batch(own, own, rows["th"][rest], run[rest] | 1)
+    if len(told):
+        own = _mixed(rows["th"][told].view(np.uint64) + rows["start"][told].astype(np.uint64))
+        yield _batch(own, own, rows["th"][told], run[told] | 1)
 
 
 def _batch(s, g, th, run) -> pa.RecordBatch:
@@ -291,9 +290,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     long_ = texts.where(F.octet_length("text") >= length)
     keyed = long_.mapInArrow(_spine_rows(length), KEYED)
     marks = stage.save(_marks(_resolved(keyed)), "marks")
-    runs = marks.groupBy("th").agg(F.collect_list(F.struct("start", "count", "sure", "spine")).alias("runs"))
-    # one row for each text: of equal ones the first found
-    held = stage.save(_one_each(long_, runs), "held")
+    runs = marks.groupBy("th").agg(F.collect_set(F.struct("start", "count", "sure", "spine")).alias("runs"))
+    # one row for each text; copies meet in their tasks before the shuffle
+    once = long_.groupBy("th").agg(F.first("text").alias("text"))
+    held = stage.save(once.join(runs, "th").select("th", "text", "runs"), "held")
     single = _resolved(held.mapInArrow(_string_rows(length), KEYED))
     found = single.where((F.col("n_g") >= 2) | (F.col("run").bitwiseAND(1) == 1)).select("th", F.shiftright("run", _START).alias("start"))
     singles = found.groupBy("th").agg(F.collect_set("start").alias("starts"))
@@ -316,27 +316,6 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     return joined.mapInArrow(spans, "th long, text string, spans array<struct<start: long, stop: long>>").where(F.size("spans") > 0)
 
 
-def _one_each(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Joins each distinct text with its runs, once. Copies are told apart by nothing, so within the join's sorted
-    partitions the first row of each key stays; a copy that the join split off to another task is dropped by the
-    final grouping of results, which are equal."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            th = batch.column("th").to_numpy()
-            new = np.ones(len(th), bool)
-            new[1:] = th[1:] != th[:-1]
-            if len(th) and last is not None and th[0] == last:
-                new[0] = False
-            if len(th):
-                last = th[-1]
-            yield batch.filter(pa.array(new))
-
-    joined = texts.join(runs, "th").select("th", "text", "runs")
-    return joined.mapInArrow(first, joined.schema)
-
-
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
     found = repeated_spans(docs, text_col, length)
@@ -357,7 +336,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sha.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)], names=["th", "n_removed", "n_spans", "sha"])
 
-    changed = found.mapInArrow(digest, "th long, n_removed long, n_spans long, sha string").dropDuplicates(["th"])
+    changed = found.mapInArrow(digest, "th long, n_removed long, n_spans long, sha string")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(id_col, F.octet_length(text).cast("long").alias("n_bytes"), text_key(text).alias("th"), F.sha2(text.cast("binary"), 256).alias("whole"))
     joined = rows.join(changed, "th", "left")
@@ -387,7 +366,7 @@ def _keep_rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_passages(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """The rows with repeated passages taken out of ``text_col``; characters stay whole; other columns as they were."""
-    spans = repeated_spans(docs, text_col, length).select(F.col("th").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_th"])
+    spans = repeated_spans(docs, text_col, length).select(F.col("th").alias("_th"), F.col("spans").alias("_spans"))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
