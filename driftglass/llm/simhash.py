@@ -194,7 +194,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = stage.save(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     n = nodes.count()
     segments = cheapest_parts(n, max_distance)
-    near = stage.save(near_pairs(nodes.select("fp"), stage, max_distance, segments, 64 + int(4 * n / 2 ** (BITS // segments))).distinct(), "pairs")
+    chance = n / 2 ** (BITS / segments)  # fingerprints that share a part by chance; far more of them are a family
+    near = stage.save(near_pairs(nodes.select("fp"), stage, max_distance, segments, int(8 + chance + 4 * chance**0.5)).distinct(), "pairs")
     ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("least").alias("_id"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ends, "_id").dropDuplicates(["fp"])
     sets = stage.save(texts.select("fp", _shingle_sets(shingle)("_text").alias("s")), "shingles")
