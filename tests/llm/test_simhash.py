@@ -120,3 +120,45 @@ def test_similar_documents(spark):
 
 def test_parts_follow_the_size():
     assert simhash.cheapest_parts(10**5, 8) > simhash.cheapest_parts(10**9, 8) >= 2
+
+
+def _check_groups(spark, texts):
+    """similar_documents against the closure of all pairs of Jaccard 0.8; how many pairs there are."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    root, pairs = list(range(len(texts))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(texts))}
+    return pairs
+
+
+def _edited(rng, words, text, n):
+    t = list(text)
+    for k in rng.sample(range(len(t)), n):
+        t[k] = rng.choice(words)
+    return t
+
+
+def test_every_pair_of_a_family_is_verified(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=120)
+    family = []
+    for _ in range(60):  # two by two alike, each pair too far from all others of the family
+        t = _edited(rng, words, base, 4)
+        family += [" ".join(t), " ".join(_edited(rng, words, t, 2))]
+    rng.shuffle(family)
+    monkeypatch.setattr(simhash, "BLOCK", 32, raising=False)
+    assert _check_groups(spark, family) >= 60
