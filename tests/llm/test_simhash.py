@@ -162,3 +162,14 @@ def test_every_pair_of_a_family_is_verified(spark, monkeypatch):
     rng.shuffle(family)
     monkeypatch.setattr(simhash, "BLOCK", 32, raising=False)
     assert _check_groups(spark, family) >= 60
+
+
+def test_scattered_changes_are_found(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k, edits in ((40, 1), (60, 1), (100, 2), (200, 4), (400, 8)):
+        for _ in range(60):
+            t = rng.choices(words, k=k)
+            texts += [" ".join(t), " ".join(_edited(rng, words, t, edits))]
+    assert _check_groups(spark, texts) >= 150
