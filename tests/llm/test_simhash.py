@@ -173,3 +173,13 @@ def test_scattered_changes_are_found(spark):
             t = rng.choices(words, k=k)
             texts += [" ".join(t), " ".join(_edited(rng, words, t, edits))]
     assert _check_groups(spark, texts) >= 150
+
+
+def test_equal_fingerprints_are_compared(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        t = [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(240)]
+        t[100:100] = ["-"] * 60
+        texts.append(" ".join(t))
+    assert _check_groups(spark, texts) == 0
