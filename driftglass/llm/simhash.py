@@ -298,5 +298,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return marked.join(named, "root").select(F.col("id").alias(id_col), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Exactly one row of each group of similar texts: the one with the smallest id, null ids last. Rows are named by id
+    and text, so rows that repeat both are one, and those that share an id only are judged each by its text."""
+    stage = Stage(docs.sparkSession, "similar")
+    roots = similar_texts(docs, stage, text_col, shingle, similarity)
+    node = text_node(F.col(text_col))
+    row = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), node)
+    first = docs.select(node.alias("node"), F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), row.alias("row")).alias("k")).groupBy("node").agg(F.min("k").alias("k"))
+    kept = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"))
+    return docs.withColumn("_row", row).dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(docs.columns)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -99,3 +99,21 @@ def test_run(spark, sf_dir):
         by[r.sequence_id] += len(r.ids) // 4
     assert all(by[r.sequence_id] == r.sequence_tokens <= 4096 for r in pieces)
     assert all(n == 4096 or n & (n - 1) == 0 for n in by.values())
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(2000)]
+    prose = [" ".join(rng.choices(words, k=90)) for _ in range(7)]
+    rows = [(1, prose[0]), (1, prose[0]), (None, prose[0])]  # a repeated row and a copy without an id
+    rows += [(2, prose[1]), (2, prose[2]), (3, prose[2])]  # an id with two texts, one of them with a copy
+    rows += [(None, prose[3]), (None, prose[3]), (None, prose[4])] + [(9, prose[5]), (8, prose[5]), (7, prose[6])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    unique = stages.drop_near_duplicates(spark, docs, "")
+    want = Counter([(1, prose[0]), (2, prose[1]), (2, prose[2]), (None, prose[3]), (None, prose[4]), (8, prose[5]), (7, prose[6])])
+    assert Counter((r.doc_id, r.text) for r in unique.collect()) == want
+    unique.write.parquet(f"{tmp_path}/unique")
+    cut = stages.drop_passages(spark, spark.read.parquet(f"{tmp_path}/unique"), "")
+    assert Counter((r.doc_id, r.text) for r in cut.collect()) == want
+    pieces = stages.pack(spark, cut, "").collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in want) and all(r.doc_tokens > 90 for r in pieces)
