@@ -6,9 +6,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftglass.llm import stages
+from driftglass.llm import mixing, stages
 
 
 def corpus():
@@ -117,3 +118,24 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in cut.collect()) == want
     pieces = stages.pack(spark, cut, "").collect()
     assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in want) and all(r.doc_tokens > 90 for r in pieces)
+
+
+def test_packing_follows_the_mix(spark, tmp_path):
+    rng = random.Random(3)
+    # later positions have longer texts, so their files are the larger ones
+    plain = spark.createDataFrame([(i, f"t{i}", "a" if i % 4 else "b") for i in range(1500)], "doc_id long, text string, source string")
+    mixed = mixing.in_order(plain).collect()
+    long_ = {r.doc_id: " ".join(str(rng.random()) for _ in range(2 + n // 20)) for n, r in enumerate(mixed)}
+    docs = spark.createDataFrame([(i, long_[i], "a" if i % 4 else "b") for i in range(1500)], "doc_id long, text string, source string")
+    position = {r.doc_id: r.position for r in mixing.interleave(docs.withColumn("_text", F.xxhash64("text")), tie=["_text"]).collect()}
+    parts = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stages.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+        for r in stages.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect():
+            parts.setdefault(r.sequence_id >> 40, set()).add(position[r.doc_id])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = [parts[p] for p in sorted(parts)]
+    assert len(order) > 1 and sum(map(len, order)) == 1500
+    assert all(max(x) < min(y) for x, y in zip(order, order[1:], strict=False))
