@@ -271,9 +271,11 @@ def similar_texts(docs: DataFrame, stage: Stage, text_col: str, shingle: int, si
     links = stage.save(verified(stars), "star-links")
     roots = connected_components(links, Stage(spark, "similar-stars"))
     classed = stage.save(shared.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    stage.drop("shared")
     classes = classed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
     open_ = classes.where("most.c < all").select("h", F.col("most.root").alias("most"), (F.col("all") - F.col("most.c")).alias("minor"))
     left = stage.save(classed.join(open_, "h"), "open")
+    stage.drop("classed")
     side = lambda df, p: df.select("h", *(F.col(c).alias(f"{p}{c}") for c in ("node", "root", "size", "pos", "most")))
     few = left.where(F.col("minor") <= FEW)
     met = side(few.where("root <> most"), "a_").join(side(few, "b_"), "h")
@@ -284,6 +286,8 @@ def similar_texts(docs: DataFrame, stage: Stage, text_col: str, shingle: int, si
     many = left.where(F.col("minor") > FEW).withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), blocks - 1)))
     many = many.select("h", F.least("mine", "m").alias("i"), F.greatest("mine", "m").alias("j"), "mine", "node", "root").join(sets, "node")
     tiled = stage.save(many.groupBy("h", "i", "j").applyInArrow(_verified(similarity), "a long, b long"), "tile-links")
+    stage.drop("open")
+    stage.drop("shingles")
     return connected_components(links.union(found).union(tiled), stage)
 
 
