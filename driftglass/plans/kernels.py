@@ -76,8 +76,10 @@ def gbt_fit(spark, sf):
 
 @query("run_modes")
 def run_modes(spark, sf):
-    """Held-out scores per target group, with the id of the model that gave them."""
-    return L.leave_one_out(features(spark, sf), ["n_chars", "odd", "lines"], "lang", ["de", "fr"], 0.5, trees=3).select("doc_id", "lang", "y", "p", "model")
+    """Held-out scores per language, each held out in turn, with the id of the model that gave them."""
+    rows = features(spark, sf)
+    targets = sorted(r.lang for r in rows.select("lang").where("lang is not null").distinct().collect())
+    return L.leave_one_out(rows, ["n_chars", "odd", "lines"], "lang", targets, 0.5, trees=3).select("doc_id", "lang", "y", "p", "model")
 
 
 @query("crossfit_calibrate")

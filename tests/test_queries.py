@@ -47,3 +47,12 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_run_modes_holds_out_every_language(spark):
+    from driftglass.plans.kernels import features
+
+    got = catalog.QUERIES["run_modes"](spark, SF).collect()
+    want = features(spark, SF).collect()
+    assert {r.lang for r in want} == {"de", "en", "es", "fr"}
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in want)
