@@ -2,13 +2,16 @@
 
 A sequence has three limits: tokens, segments and loss-bearing tokens. An example's demands are a vector in shares of
 these limits; from a pool the example that fits with the largest dot product of its demands and the room left is placed
-next, so long and short examples, or prompts and answers, meet in a sequence until all limits are used together. Where
-nothing fits, or only one segment is left, an example is cut at the room left and its rest goes back to the pool.
+next, so long and short examples, or contexts and answers, meet in a sequence until all limits are used together. Where
+nothing fits whole, or only one segment is left, the piece with the largest dot product is cut off an example and its
+rest goes back to the pool. A sequence starts with the oldest example of the pool, so none waits for ever.
 
-Each task packs the rows of its own partition as they stream by (no shuffle; memory is a pool of ``pool`` examples), so
-the only sequence not full is a task's last one. It is split at powers of two, which need no padding.
+Each task packs the rows of its own partition as they stream by (no shuffle; memory is a pool of ``pool`` examples and
+rows are moved by no more than the pool). A sequence that a limit or the end of the rows leaves short is split at powers
+of two, which need no padding.
 
-Tokens before ``loss_from`` bear no loss (an instruction before its answer); by default all but a text's first id do.
+An example's first ``loss_from`` tokens bear no loss (an instruction before its answer): a column of counts, or the
+share of each example that is context.
 
 Edge cases: a null or blank text has the end id only; null or repeated ids are packed like others, each row on its own;
 an empty table gives no rows; an example longer than a sequence is cut; other columns of the input are ignored.
@@ -27,14 +30,16 @@ from pyspark.sql import functions as F
 
 from .word_memo import memo_for
 
+#: The share of an example that is context unless the caller says otherwise.
+CONTEXT = 0.25
 SCHEMA = "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long, sequence_tokens long"
 
 
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 128
-    loss: int = 4096
+    segments: int = 16
+    loss: int = 3584
 
 
 @dataclass
@@ -55,9 +60,10 @@ class _Example:
     def loss(self, n: int) -> int:
         return max(0, self.start + n - max(self.start, self.loss_from))
 
-    def room(self, tokens: int, loss: int) -> int:
-        """The longest piece within these limits."""
-        return min(self.left, tokens, max(0, self.loss_from - self.start) + loss)
+    @property
+    def free(self) -> int:
+        """Tokens ahead that bear no loss."""
+        return min(self.left, max(0, self.loss_from - self.start))
 
 
 class Packer:
@@ -66,10 +72,11 @@ class Packer:
     def __init__(self, limits: Limits, pool: int):
         self.limits, self.size = limits, pool
         self.examples: list[_Example] = []
-        self.need = np.zeros((pool, 2))  # tokens and loss of each example in the pool
+        self.need = np.zeros((pool, 3), np.int64)  # tokens left, those ahead without loss, and arrival of each example in the pool
+        self.arrived = 0
 
     def _put(self, k: int, example: _Example) -> None:
-        self.need[k] = example.left, example.loss(example.left)
+        self.need[k, :2] = example.left, example.free
 
     def _drop(self, k: int) -> None:
         last = self.examples.pop()
@@ -77,16 +84,19 @@ class Packer:
             self.examples[k] = last
             self.need[k] = self.need[len(self.examples)]
 
-    def _choice(self, tokens: int, segments: int, loss: int) -> tuple[int, int]:
+    def _choice(self, tokens: int, segments: int, loss: int, opening: bool) -> tuple[int, int]:
         """(place in the pool, tokens to take) of what goes next; nothing to take: (0, 0)."""
-        need, most = self.need[: len(self.examples)], self.limits
-        fits = (need[:, 0] <= tokens) & (need[:, 1] <= loss)
-        worth = need[:, 0] * (tokens / most.tokens**2) + need[:, 1] * (loss / most.loss**2) + segments / most.segments**2
-        if segments > 1 and fits.any():
-            k = int(np.argmax(np.where(fits, worth, -1)))
-            return k, self.examples[k].left
-        k = int(np.argmax(worth))
-        return k, self.examples[k].room(tokens, loss)
+        left, free, arrival = self.need[: len(self.examples)].T
+        most = self.limits
+        take = np.minimum(np.minimum(left, tokens), free + loss)
+        if opening and take[k := int(arrival.argmin())]:
+            return k, int(take[k])
+        worth = take * (tokens / most.tokens**2) + np.maximum(take - free, 0) * (loss / most.loss**2) + segments / most.segments**2
+        whole = take == left
+        if segments > 1 and whole.any():
+            worth = np.where(whole, worth, -1)
+        k = int(worth.argmax())
+        return k, int(take[k])
 
     def pack(self, stream: Iterator[_Example]) -> Iterator[list[tuple[_Example, int, int]]]:
         more = True
@@ -100,9 +110,10 @@ class Packer:
                     if more:
                         self.examples.append(example)
                         self._put(len(self.examples) - 1, example)
+                        self.need[len(self.examples) - 1, 2] = self.arrived = self.arrived + 1
                 if not self.examples:
                     break
-                k, n = self._choice(tokens, segments, loss)
+                k, n = self._choice(tokens, segments, loss, not placed)
                 if not n:
                     break
                 example = self.examples[k]
@@ -115,7 +126,7 @@ class Packer:
                     self._drop(k)
             if not placed:
                 return
-            yield from [placed] if self.examples or not tokens else self._powers(placed)
+            yield from self._powers(placed) if tokens else [placed]
 
     @staticmethod
     def _powers(placed: list[tuple[_Example, int, int]]) -> Iterator[list[tuple[_Example, int, int]]]:
@@ -132,17 +143,22 @@ class Packer:
                     now = []
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from: Column | None = None, limits: Limits = Limits(), pool: int = 256, spaced: bool = False) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from: Column | float = CONTEXT, limits: Limits = Limits(), pool: int = 256, spaced: bool = False) -> DataFrame:
     """One row per piece: id, its start in the example, its ids (little-endian unsigned 32-bit), the example's length,
     and the sequence, offset and segment where it lies. ``tokenizer`` is the path of a tokenizers file."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = memo_for(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
+        memo = memo_for(tokenizer, spaced)
 
         def examples() -> Iterator[_Example]:
             for batch in batches:
-                for key, text, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                    yield _Example(key, memo.encode(text.as_py()) + end, first)
+                rows = iter(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+                for ids, ends in memo.encode(batch.column(1), end_id):
+                    low = 0
+                    for high in ends.tolist():
+                        key, first = next(rows)
+                        yield _Example(key, ids[low:high].tobytes(), int(share * (high - low)) if first is None else first)
+                        low = high
 
         sequence, out = TaskContext.get().partitionId() << 40, []
         for placed in Packer(limits, pool).pack(examples()):
@@ -158,7 +174,8 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
         if out:
             yield _batch(out)
 
-    first = F.lit(1) if loss_from is None else loss_from
+    share = 0.0 if isinstance(loss_from, Column) else loss_from
+    first = loss_from if isinstance(loss_from, Column) else F.lit(None)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), first.cast("int").alias("loss_from")).mapInArrow(rows, SCHEMA)
 
 
@@ -166,3 +183,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     names = ["id", "start", "ids", "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens", "sequence_tokens"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def violations(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The sequences of a packing that break a limit or have gaps, with what they hold; none in a sound packing."""
+    sums = pieces.withColumn("n", F.octet_length("ids") / 4).groupBy("sequence_id").agg(F.sum("n").cast("long").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"), F.max(F.col("offset") + F.col("n")).cast("long").alias("stop"), F.count_distinct("offset").alias("places"))
+    return sums.where((F.col("tokens") > limits.tokens) | (F.col("segments") > limits.segments) | (F.col("loss") > limits.loss) | (F.col("stop") != F.col("tokens")) | (F.col("places") != F.col("segments"))).select("sequence_id", "tokens", "segments", "loss")

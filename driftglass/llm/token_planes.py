@@ -55,28 +55,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     """Encodes every text, appends the end id, and writes the blocks to ``path`` in ascending order of ids."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = memo_for(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
-        part, block, first, held, size, pieces, doc, start = TaskContext.get().partitionId(), 0, 0, [], 0, [], 0, 0
+        memo, part = memo_for(tokenizer, spaced), TaskContext.get().partitionId()
+        block, first, held, size, pieces, doc, start = 0, 0, [], 0, [], 0, 0
 
         def done(n: int) -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = [[part], [block], [first], [n], [bits], [to_planes(ids, bits)], [pieces]]
+            row = [[part], [block], [first], [n], [bits], [to_planes(np.concatenate(held), bits)], [pieces]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.binary()), pa.list_(PIECE)]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "first", "n", "bits", "planes", "pieces"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memo.encode(text.as_py()) + end
-                total, at = len(ids) // 4, 0
-                while at < total:
-                    take = min(total - at, BLOCK - size)
-                    held.append(ids[4 * at : 4 * (at + take)])
-                    pieces.append({"doc": doc, "id": key, "doc_start": start, "doc_tokens": total, "at": at, "n": take})
-                    at, size = at + take, size + take
-                    if size == BLOCK:
-                        yield done(size)
-                        block, first, held, size, pieces = block + 1, first + size, [], 0, []
-                doc, start = doc + 1, start + total
+            keys = iter(batch.column(0).to_pylist())
+            for ids, ends in memo.encode(batch.column(1), end_id):
+                low = 0
+                for high in ends.tolist():
+                    key, total, at = next(keys), high - low, 0
+                    while at < total:
+                        take = min(total - at, BLOCK - size)
+                        held.append(ids[low + at : low + at + take])
+                        pieces.append({"doc": doc, "id": key, "doc_start": start, "doc_tokens": total, "at": at, "n": take})
+                        at, size = at + take, size + take
+                        if size == BLOCK:
+                            yield done(size)
+                            block, first, held, size, pieces = block + 1, first + size, [], 0, []
+                    doc, start, low = doc + 1, start + total, high
         if size:
             yield done(size)
 
@@ -115,16 +116,21 @@ def combined(first: int, second: int, size: int) -> int:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each block with the CRC-32 of their ids."""
     for batch in batches:
-        out = []
-        for part, n, bits, planes, pieces in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            ids, at = memoryview(from_planes(planes, n, bits).tobytes()), 0
-            for p in pieces:
-                out.append((part, p["doc"], p["id"], p["doc_start"], p["doc_tokens"], p["at"], p["n"], zlib.crc32(ids[4 * at : 4 * (at + p["n"])])))
-                at += p["n"]
-        names = ["part", "doc", "id", "doc_start", "doc_tokens", "at", "n", "crc"]
-        kinds = [pa.int32()] + [pa.int64()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+        part, n, bits, planes = (batch.column(i).to_pylist() for i in range(4))
+        lists = batch.column(4)
+        pieces, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        crc, at = [], np.cumsum(count) - count
+        stops = pieces.field("n").to_numpy()
+        for i in range(len(part)):
+            ids, low = memoryview(from_planes(planes[i], n[i], bits[i]).tobytes()), 0
+            for k in stops[at[i] : at[i] + count[i]].tolist():
+                crc.append(zlib.crc32(ids[4 * low : 4 * (low + k)]))
+                low += k
+        names = ["doc", "id", "doc_start", "doc_tokens", "at", "n"]
+        columns = [pa.array(np.repeat(part, count), pa.int32()), *(pieces.field(x) for x in names), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", *names, "crc"])
 
 
 def _one_crc(rows: pa.Table) -> pa.Table:

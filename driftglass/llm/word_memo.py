@@ -1,9 +1,12 @@
-"""Token ids by the tokenizers library, with each distinct word encoded once in a worker.
-
-Both public vocabularies used here split a text before white space that follows a word, whatever stands around it, so
-the ids of a text are those of its words in a row. A word is looked up; a new one is cut into the vocabulary's
-pre-tokens, and the library's model encodes those not yet seen. Words with characters beyond Latin letters, where
-normalisation needs more care, are encoded by the library as a whole.
+"""Token ids by the tokenizers library, a column of texts at once.
+
+Both public vocabularies used here cut a text before white space that follows a word, whatever stands around it, so the
+ids of a text are those of its words in a row. A slice of texts is split at spaces by Arrow and its words are
+dictionary-encoded, so each distinct word of a slice is looked at once; the ids of the texts are then gathered from
+those of the words. A word of Latin letters with punctuation after it is cut by a pattern; pre-tokens are remembered in
+the worker, and the library's model encodes those not yet seen. Other words are cut one by one, and words with
+characters beyond Latin letters, where normalisation needs more care, are encoded by the library as a whole. So are
+texts that hold a special token of the vocabulary, which the library finds before it cuts anything.
 """
 
 from __future__ import annotations
@@ -12,15 +15,22 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _WORD_STARTS = re.compile(r"(?<=\S)(?= )")
 #: White space before a space: there the space does not follow a word. These are all characters that ``\s`` matches.
-_ODD = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
-#: Words are remembered up to this many; then the older generation is let go.
-MOST = 400_000
+_ODD = "[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "] "
+#: Latin letters (those that are one letter in lower case), then punctuation, and once more after a line break.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", "[.,;:!?]*"
+_SIMPLE = f"^(?P<stem>{_LETTERS})(?P<tail>{_MARKS})(?:(?P<line>\n)(?P<more>{_LETTERS})(?P<rest>{_MARKS}))?$"
+#: Words and pre-tokens are remembered up to this many; then the older generation is let go.
+MOST = 500_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 24
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,6 +61,29 @@ class _Generations(dict):
             self.clear()
 
 
+class _Table:
+    """Sequences of ids, by number."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray):
+        self.ids, self.size, self.start = ids, size, np.cumsum(size) - size
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> _Table:
+        return cls(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+
+    def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these sequences in a row, where each one ends)."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[numbers] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
+def _joined(tables: list[_Table]) -> _Table:
+    return _Table(np.concatenate([t.ids for t in tables]), np.concatenate([t.size for t in tables]))
+
+
 class WordMemo:
     """``spaced``: a word's ids depend on the space before it (byte-level vocabularies); else white space is dropped
     and letters are lower-cased."""
@@ -62,39 +95,97 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
         self.spaced, self.model, self.letters = spaced, self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as file:
-            parts = json.load(file)["pre_tokenizer"].get("pretokenizers", [])
-        split = [p["pattern"]["Regex"] for p in parts if p["type"] == "Split"]
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        split = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
         self.cut = regex.compile(split[0] if split else public_tokenizers.PATTERN).findall
         self.pre_tokens = _Generations(self._pre_token)
+        self.after_space = _Generations(lambda piece: self._pre_token(" " + piece))
         self.words = _Generations(self._word)
-        self.after_space = _Generations(lambda word: self._word(" " + word))
 
     def _pre_token(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
         if not word.isascii() and (max(word) >= "ɐ" or not unicodedata.is_normalized("NFC", word)):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._library(word)
         return b"".join(map(self.pre_tokens.__getitem__, self.cut(word if self.spaced else word.lower())))
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        for memo in (self.pre_tokens, self.words, self.after_space):
+    def _alone(self, text: str) -> bytes:
+        """The ids of a text that spaces alone cannot cut."""
+        if any(s in text for s in self.special):
+            return self._library(text)
+        return b"".join(map(self.words.__getitem__, _WORD_STARTS.split(text)))
+
+    def _distinct(self, words: pa.Array, spaced: bool) -> _Table:
+        """The ids of each word; ``spaced``: a space is before it."""
+        found = pc.extract_regex(words, _SIMPLE)
+        valid = found.is_valid()
+        simple = valid.to_numpy(zero_copy_only=False)
+        parts, numbers, known = [b""], [], 1
+        for name in ("stem", "tail", "line", "more", "rest"):
+            if name == "line" and not self.spaced:
+                continue
+            part = found.field(name).filter(valid)
+            part = (part if self.spaced else pc.utf8_lower(part)).dictionary_encode()
+            names = part.dictionary.to_numpy(zero_copy_only=False).tolist()
+            memo = self.after_space if spaced and name == "stem" else self.pre_tokens
+            parts += map(memo.__getitem__, names)
+            numbers.append(part.indices.to_numpy().astype(np.int64) + known)
+            known += len(names)
+        ids, ends = _Table.of(parts).rows(np.stack(numbers, 1).ravel())
+        stops = ends[len(numbers) - 1 :: len(numbers)]
+        space = " " if spaced else ""
+        others = words.filter(pc.invert(valid)).to_numpy(zero_copy_only=False).tolist()
+        rest = _Table.of([self.words[space + x] if space + x else b"" for x in others])
+        table, number = _joined([_Table(ids, np.diff(stops, prepend=0)), rest]), np.empty(len(words), np.int64)
+        number[np.flatnonzero(simple)], number[np.flatnonzero(~simple)] = np.arange(len(stops)), len(stops) + np.arange(len(others))
+        return _Table(table.rows(number)[0], table.size[number])
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slices of the texts in order: (their ids in a row, unsigned 32-bit; where each text ends). Null is empty; an
+        end id, if given, follows each text."""
+        texts = texts.cast(pa.large_string())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        before, at = np.cumsum(sizes) - sizes, 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(before, before[at] + SLICE)))
+            yield self._slice(pc.fill_null(texts.slice(at, stop - at), ""), end_id)
+            at = stop
+
+    def _slice(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        for memo in (self.pre_tokens, self.after_space, self.words):
             memo.trim()
-        if not self.spaced:
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-        if any(x in text for x in _ODD):
-            return b"".join(map(self.words.__getitem__, _WORD_STARTS.split(text)))
-        words = text.split(" ")
-        return self.words[words[0]] + b"".join(map(self.after_space.__getitem__, words[1:]))
+        alone = np.zeros(len(texts), bool)
+        for mark in self.special:
+            alone |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if self.spaced:
+            alone |= pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        whole = [self._alone(x) for x in texts.filter(pa.array(alone)).to_pylist()]
+        lists = pc.split_pattern(pc.if_else(pa.array(alone), "", texts), " ")
+        flat = lists.flatten().dictionary_encode()
+        code, ends = flat.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+        first = ends[:-1]
+        tables = [self._distinct(flat.dictionary, self.spaced)]
+        known = len(flat.dictionary)
+        if self.spaced:  # a text's first word has no space before it
+            names, place = np.unique(code[first], return_inverse=True)
+            code[first] = known + place
+            tables.append(self._distinct(flat.dictionary.take(pa.array(names)), False))
+            known += len(names)
+        code[first[alone]] = known + np.arange(len(whole))
+        tables.append(_Table.of([*whole, (end_id or 0).to_bytes(4, "little")]))
+        if end_id is not None:
+            code = np.insert(code, ends[1:], known + len(whole))
+            ends = ends + np.arange(len(ends))
+        ids, stops = _joined(tables).rows(code)
+        return ids, np.concatenate((np.zeros(1, np.int64), stops))[ends[1:]]
 
 
 _MEMO: dict[tuple[str, bool], WordMemo] = {}

@@ -6,9 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftglass.llm import packing, token_planes, word_memo
@@ -19,8 +22,14 @@ TEXTS = ["  a  b   c \n d  e <|endoftext|> don't I'LL x'S 12345 İstanbul ΣΑΣ
 
 
 def library(name):
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def encoded(memo, texts, end_id=None):
+    """The ids of each text as bytes."""
+    found = []
+    for ids, ends in memo.encode(pa.array(texts, pa.string()), end_id):
+        found += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     return found
 
 
@@ -29,14 +38,29 @@ def test_memo_equals_library(name, spaced, monkeypatch):
     monkeypatch.setattr(word_memo, "MOST", 50)
     memo, tokenizer = word_memo.WordMemo(public_tokenizers.path(name), spaced), library(name)
 
+    ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    words = st.text(" \n\t ab'sé1.É中", max_size=60)
+    special = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "a", " b", "\n"]), max_size=8).map("".join)
+
     @settings(max_examples=150, deadline=None)
-    @given(st.one_of(st.text(max_size=60), st.text(" \n\t ab'sé1.É中", max_size=60)))
-    def same(text):
-        assert np.frombuffer(memo.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    @given(st.lists(st.one_of(st.text(max_size=60), words, special), max_size=6))
+    def same(texts):
+        assert encoded(memo, texts) == [ids(t) for t in texts]
 
     same()
-    for text in TEXTS * 2:
-        assert np.frombuffer(memo.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoded(memo, TEXTS * 2 + [None], 7) == [ids(t) + b"\7\0\0\0" for t in [*TEXTS * 2, ""]]
+    monkeypatch.setattr(word_memo, "SLICE", 40)
+    assert encoded(memo, TEXTS * 2) == [ids(t) for t in TEXTS * 2]
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]  # every letter that the pattern may take
+    assert encoded(memo, [f"x {c}{c}a. {c}" for c in letters]) == [ids(f"x {c}{c}a. {c}") for c in letters]
+
+
+@pytest.mark.parametrize("name,spaced", FILES)
+def test_whole_table_equals_library(name, spaced):
+    """Every text of the smallest table, ids by the unmodified library."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    memo, tokenizer = word_memo.WordMemo(public_tokenizers.path(name), spaced), library(name)
+    assert encoded(memo, texts) == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def documents(spark):
@@ -109,7 +133,7 @@ def test_packing(spark):
     memo = word_memo.WordMemo(public_tokenizers.path("word_bpe_49k.json"), False)
     want = defaultdict(list)
     for i, text, *_ in rows:
-        want[i].append(memo.encode(text) + b"\2\0\0\0")
+        want[i].append(encoded(memo, [text], 2)[0])
     limits = packing.Limits()
     got = [r.asDict() for r in packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), 2).collect()]
     assert check_packed(got, limits, want) == 0
@@ -132,3 +156,23 @@ def test_packer_keeps_limits(sizes, segments, loss, pool):
             got.append({"id": e.id, "start": start, "ids": e.ids[4 * start : 4 * (start + n)], "doc_tokens": e.total, "sequence_id": k, "offset": at, "loss_tokens": max(0, start + n - max(start, e.loss_from)), "sequence_tokens": total})
             at += n
     check_packed(got, limits, whole)
+
+
+def test_violations_are_named(spark):
+    """A packing that breaks one limit, or has a gap, is refused."""
+    limits = packing.Limits(8, 2, 5)
+    piece = lambda seq, offset, n, loss: (seq, offset, bytearray(4 * n), loss)
+    rows = [piece(0, 0, 4, 2), piece(0, 4, 4, 3)]  # sound
+    rows += [piece(1, 0, 9, 0), piece(2, 0, 1, 0), piece(2, 1, 1, 0), piece(2, 2, 1, 0), piece(3, 0, 4, 4), piece(3, 4, 2, 2), piece(4, 0, 2, 0), piece(4, 3, 1, 0)]
+    pieces = spark.createDataFrame(rows, "sequence_id long, offset long, ids binary, loss_tokens long")
+    assert {r.sequence_id for r in packing.violations(pieces, limits).collect()} == {1, 2, 3, 4}
+
+
+def test_default_limits_all_bind(spark):
+    """Over documents of the usual lengths no limit is idle, none is broken and nothing is padded."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = packing.pack_texts(docs.coalesce(1), public_tokenizers.path("word_bpe_49k.json"), 2).cache()
+    assert packing.violations(got).isEmpty()
+    sums = got.groupBy("sequence_id").agg(F.max("sequence_tokens").alias("n"), F.max("segment").alias("last"), F.sum("loss_tokens").alias("loss")).collect()
+    assert all(r.n & (r.n - 1) == 0 for r in sums) and sum(r.n == 4096 for r in sums) > 0.8 * len(sums)
+    assert any(r.last == packing.Limits().segments - 1 for r in sums) and any(r.loss == packing.Limits().loss for r in sums)
