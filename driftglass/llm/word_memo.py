@@ -28,9 +28,9 @@ _ODD = "[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "] "
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", "[.,;:!?]*"
 _SIMPLE = f"^(?P<stem>{_LETTERS})(?P<tail>{_MARKS})(?:(?P<line>\n)(?P<more>{_LETTERS})(?P<rest>{_MARKS}))?$"
 #: Words and pre-tokens are remembered up to this many; then the older generation is let go.
-MOST = 500_000
+MOST = 250_000
 #: Bytes of text that are encoded together.
-SLICE = 1 << 24
+SLICE = 1 << 22
 
 
 def _byte_letters() -> dict[int, str]:
