@@ -1,19 +1,25 @@
 """Embedding near-duplicates with a navigable small-world graph per shard.
 
 Equal vectors are one node with a count. Nodes are dealt by hash into shards of bounded size; each shard's task builds
-a hierarchical graph and writes it as rows. Every block of nodes is then asked of every shard: a query whose beam is
-full of matches is asked again with a beam twice as wide, and each block audits some of its queries against all
-vectors of the shard, widening all beams until the audit finds nothing missed. Matches are verified by cosine in
-double precision; a tile returns counts, and links as a spanning forest, so a family of near copies is never written
-out pair by pair.
+a hierarchical graph and writes it as rows. Every node is then asked of every shard: a task reads a shard's graph once
+and the nodes stream past it. A query whose beam is full of matches is asked again with a beam twice as wide, and of
+each batch some queries are audited against all vectors of the shard, widening all beams until the audit finds nothing
+missed; what the first beams missed is counted and written. Matches are verified by cosine in double precision; a batch
+returns counts, and links as a spanning forest, so a family of near copies is never written out pair by pair.
+
+Asking every shard costs nodes times shards by its nature; graphs are copied once for each ``QUERY_ROWS`` nodes.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
-other dimensions never meet; repeated ids are rows of their own, and null ids take part but name no component (it is
-null only where no member has an id); an empty table gives no rows; other columns of the input are ignored.
+other dimensions never meet; lengths near the limits of double precision are scaled first; repeated ids are rows of
+their own, and null ids take part but name no component (it is null only where no member has an id); an empty table
+gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,9 +33,13 @@ QUERY_BEAM = 48
 EXPANDED = 6
 CHUNK = 256
 AUDITED = 48
-SHARDS = 8
-SHARD_ROWS = 50_000
-BLOCK_ROWS = 8_192
+#: The least number of shards, and the components of all vectors of one: 200,000 vectors of 64.
+SHARDS = 12
+SHARD_VALUES = 12_800_000
+#: Nodes that one task asks of a shard.
+QUERY_ROWS = 1 << 18
+#: Nodes asked at once.
+BATCH = 8_192
 #: float32 dot products of unit vectors are this close to the cosine
 SLACK = 1e-4
 
@@ -176,51 +186,79 @@ class Graph:
                 todo += [(wider[i : i + 64], width * 2) for i in range(0, len(wider), 64)]
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
-    def audited(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """``within``, with beams widened until a sample of the queries, asked of every vector, has missed nothing."""
+    def audited(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+        """``within``, with beams widened until a sample of the queries, asked of every vector, has missed nothing; then
+        the matches of the sample, those that the first beams found, and those that the last ones found."""
         sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-        near = [np.flatnonzero(self.x @ q[i] >= least) for i in sample]
+        near, first = sum(int(np.count_nonzero(self.x @ q[i] >= least)) for i in sample), None
         while True:
-            a, b = self.within(q[sample], least, beam)
-            got = np.bincount(a, minlength=len(sample))
-            if got.sum() == sum(map(len, near)) or beam >= len(self.x):
+            got = len(self.within(q[sample], least, beam)[0])
+            first = got if first is None else first
+            if got == near or beam >= len(self.x):
                 break
             beam *= 2
-        return self.within(q, least, beam)
+        return *self.within(q, least, beam), near, first, got
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.chunked_array([c.flatten() for c in column.chunks], type=column.type.value_type).to_numpy()
-    return flat.reshape(len(column), -1).astype(np.float64)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors in double precision; those whose squares might leave its range are scaled."""
+    x = column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return x / np.where((most > 1e-100) & (most < 1e100), 1.0, most)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-NODES = "dim int, shard int, node long, copies long, embedding array<float>"
-GRAPHS = f"{NODES}, place int, links array<array<int>>"
-
-
 def _build(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("order").drop_columns(["order"])
-    graph = Graph.build(_unit(_matrix(rows["embedding"])).astype(np.float32))
+    rows = rows.sort_by("order").drop_columns(["order"]).combine_chunks()
+    graph = Graph.build(_unit(_matrix(rows["embedding"].combine_chunks())).astype(np.float32))
     links = [[layer[i].tolist() for layer in graph.layers if i < len(layer)] for i in range(len(rows))]
     return rows.append_column("place", pa.array(np.arange(len(rows)), pa.int32())).append_column("links", pa.array(links, pa.list_(pa.list_(pa.int32()))))
 
 
-def _loaded(rows: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    rows = rows.sort_by("place")
-    x, links = _unit(_matrix(rows["embedding"])), rows["links"].combine_chunks()
-    depth = np.diff(links.offsets.to_numpy())
-    inner = links.flatten()
-    width, start = np.diff(inner.offsets.to_numpy()), np.cumsum(depth) - depth
-    flat, begin = inner.flatten().to_numpy(), inner.offsets.to_numpy() - inner.offsets[0].as_py()
-    layers = []
-    for layer in range(depth.max()):
-        first = start[: int((depth > layer).sum())] + layer
-        layers.append(flat[begin[first][:, None] + np.arange(width[first[0]])])
-    return Graph(x.astype(np.float32), layers), x, rows["node"].to_numpy(), rows["copies"].to_numpy()
+class _Shard:
+    """A shard's graph from its rows, which come ordered by place; vectors as they are given."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        self.raw, links = rows["embedding"].combine_chunks(), rows["links"].combine_chunks()
+        self.node, self.copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+        depth = np.diff(links.offsets.to_numpy())
+        inner = links.flatten()
+        width, start = np.diff(inner.offsets.to_numpy()), np.cumsum(depth) - depth
+        flat, begin = inner.flatten().to_numpy(), inner.offsets.to_numpy() - inner.offsets[0].as_py()
+        layers = []
+        for layer in range(depth.max()):
+            first = start[: int((depth > layer).sum())] + layer
+            layers.append(flat[begin[first][:, None] + np.arange(width[first[0]])])
+        x = np.concatenate([_unit(_matrix(self.raw.slice(i, BATCH))).astype(np.float32) for i in range(0, len(rows), BATCH)])
+        self.graph = Graph(x, layers)
+
+    def ask(self, node: np.ndarray, vectors: pa.Array, least: float) -> pa.RecordBatch:
+        q = _matrix(vectors)
+        a, b, near, first, got = self.graph.audited(_unit(q).astype(np.float32), least - SLACK, QUERY_BEAM)
+        other = node[a] != self.node[b]
+        a, b = a[other], b[other]
+        sure = [np.zeros(0, bool)]
+        for i in range(0, len(a), 65536):
+            x, y = q[a[i : i + 65536]], _matrix(self.raw.take(pa.array(b[i : i + 65536])))
+            sure.append(np.einsum("ed,ed->e", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= least)
+        sure = np.concatenate(sure)
+        a, b = a[sure], b[sure]
+        counts = np.bincount(a, self.copies[b], len(q)).astype(np.int64)
+        some = np.flatnonzero(counts)
+        low, high = _forest(node[a], self.node[b])
+        kind = np.repeat([LINKS_OF, JOINED, AUDIT], [len(some), len(low), 3])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kind, pa.int32()), pa.array(np.concatenate((node[some], low, [0, 1, 2]))), pa.array(np.concatenate((counts[some], high, [near, first, got])))],
+            names=["kind", "a", "b"],
+        )
+
+
+#: What a row (kind, a, b) of an answer tells: node a has b links; a and b are linked; audit number a counts b.
+LINKS_OF, JOINED, AUDIT = 0, 1, 2
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,23 +278,26 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _tile(least: float):
-    def tile(graph_rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(graph_rows) or not len(asked):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        graph, x, node, copies = _loaded(graph_rows)
-        q, mine = _unit(_matrix(asked["embedding"])), asked["node"].to_numpy()
-        a, b = graph.audited(q.astype(np.float32), least - SLACK, QUERY_BEAM)
-        other = mine[a] != node[b]
-        a, b = a[other], b[other]
-        sure = np.concatenate([np.einsum("ed,ed->e", q[a[i : i + 65536]], x[b[i : i + 65536]]) >= least for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-        a, b = a[sure], b[sure]
-        counts = np.bincount(a, copies[b], len(q)).astype(np.int64)
-        some = np.flatnonzero(counts)
-        low, high = _forest(mine[a], node[b])
-        return pa.table({"a": np.concatenate((mine[some], low)), "b": np.concatenate((mine[some], high)), "links": np.concatenate((counts[some], np.zeros(len(low), np.int64)))})
+def _answers(least: float):
+    """Answers of each shard to its queries. Rows come by (dim, shard, split), a graph's rows before the queries."""
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, shard = [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(n).to_numpy() for n in ("dim", "shard", "split", "asks")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                part, (*key, asks) = batch.slice(low, high - low), keys[low].tolist()
+                if not asks:
+                    held, at, shard = (held if at == key else []) + [part], key, None
+                elif at == key:
+                    if shard is None:
+                        shard, held = _Shard(held), []
+                    for i in range(0, high - low, BATCH):
+                        piece = part.slice(i, BATCH)
+                        yield shard.ask(piece.column("node").to_numpy(), piece.column("embedding"), least)
 
-    return tile
+    return answers
 
 
 def _sound(v: Column) -> Column:
@@ -265,24 +306,34 @@ def _sound(v: Column) -> Column:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
-    """One row per input row: id, n_links (other vectors linked directly), component_id (smallest id reachable) and kept."""
+    """One row per input row: id, n_links (other vectors linked directly), component_id (smallest id reachable) and kept.
+
+    The audits' counts stay in the stage's table ``answers``; their recall after widening must be 0.9 or more.
+    """
     stage = Stage(vectors.sparkSession, "hnsw")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("embedding"))
     classes = rows.where(_sound(F.col("embedding"))).groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = stage.save(classes.select(F.monotonically_increasing_id().alias("node"), "least", "copies", F.size("embedding").alias("dim"), "embedding"), "classes")
-    total = classes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_ROWS)), max(1, -(-total // BLOCK_ROWS))
+    total, widest = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards, splits = max(SHARDS, -(-total * widest // SHARD_VALUES)), max(1, -(-total // QUERY_ROWS))
     shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")
     nodes = classes.select("dim", shard, "node", "copies", "embedding")
     order = F.xxhash64("node", F.lit("level"))  # who is in the upper layers
-    graphs = stage.save(nodes.withColumn("order", order).groupBy("dim", "shard").applyInArrow(_build, GRAPHS), "graphs")
+    graphs = stage.save(nodes.withColumn("order", order).groupBy("dim", "shard").applyInArrow(_build, f"dim int, shard int, node long, copies long, embedding {kind}, place int, links array<array<int>>"), "graphs")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = nodes.select("dim", every(shards).alias("shard"), F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), "node", "embedding")
-    held = graphs.withColumn("block", every(blocks))
-    keys = ("dim", "shard", "block")
-    tiles = stage.save(held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_tile(least), "a long, b long, links long"), "tiles")
-    roots = connected_components(tiles.where("links = 0").select("a", "b"), stage)
-    counts = tiles.groupBy("a").agg(F.sum("links").alias("links"))
+    held = graphs.select("dim", "shard", every(splits).alias("split"), F.lit(0).alias("asks"), "place", "node", "copies", "embedding", "links")
+    asked = nodes.select("dim", F.pmod(F.xxhash64("node", F.lit("split")), F.lit(splits)).cast("int").alias("split"), "node", "embedding")
+    asked = asked.select("dim", every(shards).alias("shard"), "split", F.lit(1).alias("asks"), F.lit(None).cast("int").alias("place"), "node", F.lit(None).cast("long").alias("copies"), "embedding", F.lit(None).cast("array<array<int>>").alias("links"))
+    met = held.union(asked).repartition(shards * splits, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", "asks", "place")
+    answers = stage.save(met.mapInArrow(_answers(least), "kind int, a long, b long"), "answers")
+    audit = {r.a: r.n for r in answers.where(F.col("kind") == AUDIT).groupBy("a").agg(F.sum("b").alias("n")).collect()}
+    near, first, got = (audit.get(k, 0) for k in range(3))
+    logging.getLogger(__name__).info("audited matches %d, found by first beams %d, by last beams %d", near, first, got)
+    if got < 0.9 * near:
+        raise RuntimeError(f"recall of the audits is {got} of {near}")
+    roots = connected_components(answers.where(F.col("kind") == JOINED).select("a", "b"), stage)
+    counts = answers.where(F.col("kind") == LINKS_OF).groupBy("a").agg(F.sum("b").alias("links"))
     known = classes.join(counts, F.col("node") == F.col("a"), "left").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     known = known.select("embedding", "least", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
