@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="driftglass-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -46,7 +48,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = 40) -> DataFrame:
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have, in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        found.append(f"_{name}")
+        taken.add(f"_{name}".lower())
+    return found
+
+
+def text_key(docs: DataFrame, text_col: str, stage: Stage) -> Column:
+    """A long for each text of ``docs``, the same for equal texts (null is empty) and another for all others.
+
+    It is the text's 64-bit hash, except for the few texts that share it with another text: those are told apart by a
+    second hash. Their number is about n^2 / 2^65 for n texts, none below some billions; their hashes reach the driver.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first, second = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    pairs = docs.select(first.alias("k"), second.alias("k2")).distinct()
+    clashes = [r.k for r in pairs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k").collect()]
+    return F.when(first.isin(clashes), F.xxhash64(first, second)).otherwise(first) if clashes else first
+
+
+def connected_components(edges: DataFrame, stage: Stage) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``: root is the smallest node reachable.
 
     Alternating large-star and small-star steps: each round relinks every neighbour to the smallest node known, so the
@@ -54,8 +80,9 @@ def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = 40) -
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stage.save(pairs, "links-0")
-    before = None
-    for round_ in range(1, max_rounds + 1):
+    before, round_ = None, 0
+    while True:
+        round_ += 1
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -69,8 +96,6 @@ def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = 40) -
         before = tuple(now)
         if round_ > 1:
             stage.drop(f"links-{round_ - 2}")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

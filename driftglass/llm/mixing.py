@@ -22,7 +22,7 @@ from math import isqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, numbered
+from .common import Stage, free_names, numbered
 
 #: Rows of the period tables up to which they are broadcast; beyond, Spark chooses the join.
 SMALL = 100_000
@@ -79,7 +79,10 @@ def interleave(docs: DataFrame, weights: dict[str | None, int] | None = None, bl
     phase, slot (of all blocks), and position (of all rows, gapless from 0). Without weights: ``root_weights``."""
     spark = docs.sparkSession
     stage = Stage(spark, "mixing")
-    rows = docs.select(id_col, source_col, *tie)
+    outer = [id_col, source_col, *tie]  # inside, columns have names of our own
+    inner = [f"in{i}" for i in range(len(outer))]
+    rows = docs.select(*(F.col(o).alias(i) for o, i in zip(outer, inner, strict=True)))
+    id_col, source_col, tie = inner[0], inner[1], inner[2:]
     ranked = stage.save(numbered(rows, stage, source_col, [F.col(id_col), *map(F.col, tie)], "rank"), "ranked")
     counts = sorted(((r[0], r[1]) for r in ranked.groupBy(source_col).count().collect()), key=lambda x: (x[0] is not None, x[0] or ""))
     names, rows_of = [x for x, _ in counts], [n for _, n in counts]
@@ -106,20 +109,21 @@ def interleave(docs: DataFrame, weights: dict[str | None, int] | None = None, bl
     before = F.lit(0) if missing is None else F.aggregate(F.filter(missing, lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     position = F.col("slot") * block_rows + F.pmod("rank", F.lit(block_rows)) - before
     release, deadline = F.expr("(block - _first) * _period div _weight"), F.expr("((block - _first + 1) * _period + _weight - 1) div _weight")
-    return out.select(id_col, source_col, *tie, "block", "phase", release.alias("release"), deadline.alias("deadline"), "slot", position.cast("long").alias("position"))
+    return out.select(*(F.col(i).alias(o) for o, i in zip(outer, inner, strict=True)), "block", "phase", release.alias("release"), deadline.alias("deadline"), "slot", position.cast("long").alias("position"))
 
 
 def in_order(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 32, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, range-partitioned and sorted by their position in the mix. Rows of equal id,
     source and text share the first one's position."""
-    keyed = docs.withColumn("_text", F.xxhash64(text_col))
-    mixed = interleave(keyed, weights, block_rows, id_col, source_col, ["_text"])
-    keys = [id_col, source_col, "_text"]
-    first = mixed.groupBy(*keys).agg(F.min("position").alias("_position"))
-    right = first.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(keys)), "_position")
-    match = None
-    for i, c in enumerate(keys):
-        same = F.col(c).eqNullSafe(F.col(f"_r{i}"))
-        match = same if match is None else match & same
+    text, position = free_names(docs, "text", "position")
+    keyed = docs.withColumn(text, F.xxhash64(text_col))
+    mixed = interleave(keyed, weights, block_rows, id_col, source_col, [text])
+    keys = [id_col, source_col, text]
+    rights = free_names(keyed, *(f"right{i}" for i in range(3)))
+    first = mixed.groupBy(*keys).agg(F.min("position").alias(position))
+    right = first.select(*(F.col(c).alias(r) for r, c in zip(rights, keys, strict=True)), position)
+    match = F.lit(True)
+    for c, r in zip(keys, rights, strict=True):
+        match = match & F.col(c).eqNullSafe(F.col(r))
     placed = keyed.join(right, match)
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(docs.columns)
+    return placed.repartitionByRange(position).sortWithinPartitions(position).select(docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, free_names
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
@@ -114,17 +114,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The rows with a struct column ``out``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     score and kept."""
     model = fit(docs, labels, Stage(docs.sparkSession, "quality"), id_col, text_col)
-    scored = docs.withColumn("_llr", model.select("llr").scalar())
+    held = free_names(docs, "llr")[0]
+    scored = docs.withColumn(held, model.select("llr").scalar())
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def score(words: Column) -> Column:
-        llr = F.col("_llr")
+        llr = F.col(held)
         one = lambda t: F.get(llr, _bucket(t["a"])) + F.when(t["b"].isNotNull(), F.get(llr, _bucket(t["a"], t["b"]))).otherwise(0.0)
         total = F.aggregate(_pairs(words), F.lit(0.0), lambda acc, t: acc + one(t))
         return F.when(F.size(words) == 0, 0.0).otherwise(total / (2 * F.size(words) - 1))
 
     counted = let(words_of(text), lambda w: F.struct(*_base(text, w), score(w).alias("score")))
-    full = scored.withColumn(out, F.explode(counted)).drop("_llr")
+    full = scored.withColumn(out, F.explode(counted)).drop(held)
     q = F.col(out)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > REPEATED_PERCENT * q["n_words"])
     return full.withColumn(out, q.withField("base_failed", failed).withField("kept", ~failed & (q["score"] >= THRESHOLD)))

@@ -1,10 +1,10 @@
 """Byte-balanced shards by minimax contiguous partition.
 
 Rows with equal texts stay together. Texts are ordered by hash; each of ``2**GROUP_BITS`` hash ranges is an atomic group,
-so the group sizes are a table of fixed length whatever the input, and equal texts share a group. A group above its fair
-share of a shard gets a shard of its own. For the others the smallest feasible capacity is found by binary search, each
-try checked greedily, and the order is cut there: a shard closes at the capacity, or as soon as it holds its share of
-what is left and the rest still fits.
+so the group sizes are a table of fixed length whatever the input, and equal texts share a group. The smallest feasible
+capacity is found by binary search, each try checked greedily (a group above its fair share is the least there can be),
+and the order is cut there: a shard closes at the capacity, or as soon as it holds its share of what is left and the
+rest still fits. All shards are contiguous in the order, and none is above the smallest capacity.
 
 Only the group sizes (at most ``2**GROUP_BITS`` numbers) come to the driver, and only the cuts go back.
 
@@ -68,20 +68,6 @@ def cut(sizes: list[int], shards: int) -> list[int]:
     return cuts
 
 
-def place(groups: list[tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
-    """(first group of each later shard, groups with a shard of their own) from (group, size) in order."""
-    total, own = sum(s for _, s in groups), []
-    for group, size in sorted(groups, key=lambda x: (-x[1], x[0])):
-        left = shards - len(own)
-        if left <= 1 or size * left <= total:
-            break
-        own.append(group)
-        total -= size
-    alone = set(own)
-    rest = [x for x in groups if x[0] not in alone]
-    return [rest[i][0] for i in cut([s for _, s in rest], shards - len(own))], own
-
-
 def by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size, text_crc32, shard, and slot, gapless from 0 in the shard."""
     stage, text = Stage(docs.sparkSession, "shards"), F.coalesce(F.col(text_col), F.lit(""))
@@ -89,9 +75,7 @@ def by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col
     sized = docs.select(F.col(id_col), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
     rows = stage.save(sized.withColumn("group", group).drop("h"), "sizes")
     groups = sorted((r["group"], r["size"]) for r in rows.groupBy("group").agg(F.sum("size").alias("size")).collect())
-    cuts, own = place(groups, shards)
+    cuts = [groups[i][0] for i in cut([size for _, size in groups], shards)]
     shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("group"))) if cuts else F.lit(0)
-    if own:
-        shard = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(own) for x in (g, shards - 1 - i))), F.col("group")), shard)
     placed = rows.withColumn("shard", shard.cast("int")).drop("group")
     return numbered(placed, stage, "shard", [F.col(id_col), F.col("size"), F.col("text_crc32")], "slot")

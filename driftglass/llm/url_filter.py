@@ -2,11 +2,13 @@
 
 A rule ``host/path`` fits its host and all subdomains where the URL's path starts with the rule's; the longest fitting
 rule decides (of equally long ones a block, then the first in order). URLs that rules decide are also the labelled
-examples the trees learn from: the trees carry the rules' judgement to URLs of similar build that no rule names.
+examples the trees learn from, unless the caller has labels of their own: the trees carry the rules' judgement to URLs
+of similar build that no rule names.
 
 Features, all from the URL's text by built-in functions: lengths of URL, host, path and query, host labels, path depth,
 digits and their share, hyphens, Shannon entropy of the characters, query parameters, numeric segments, scheme, and
-the smoothed share of blocked examples under the URL's last and last two host labels. The trees are Spark ML's, fitted
+the smoothed share of blocked examples under the URL's last and last two host labels (for an example: of those in the
+other folds, so that its own label is not among its features). The trees are Spark ML's, fitted
 on at most ``EXAMPLES`` labelled URLs (the distinct ones whose hashes are lowest); suffix statistics come from the same
 examples, so their table is no longer than the examples and is broadcast.
 
@@ -87,41 +89,64 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _suffixes(df: DataFrame, stats: DataFrame, prior: float) -> DataFrame:
-    """Adds f_one and f_two, the share of blocked examples under the last label and the last two."""
+def _suffix_counts(sample: DataFrame) -> DataFrame:
+    """(k, suffix, fold, n, blocked): labelled URLs by their last k host labels and fold."""
+    suffix = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring_index("host", ".", -k).alias("suffix")) for k in (1, 2))))
+    return sample.select("label", "fold", suffix.alias("s")).groupBy("s.k", "s.suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+
+
+def _suffixes(df: DataFrame, counts: DataFrame, prior: float, held_out: bool) -> DataFrame:
+    """Adds f_one and f_two, the share of blocked examples under the last label and the last two; ``held_out``: without
+    the examples of the row's own fold, so that no label tells itself."""
     for k, name in ((1, "f_one"), (2, "f_two")):
-        one = stats.where(F.col("k") == k).select(F.col("suffix").alias(f"_s{k}"), F.col("share").alias(name))
-        df = df.join(F.broadcast(one), F.substring_index("host", ".", -k) == F.col(f"_s{k}"), "left").drop(f"_s{k}").fillna(prior, [name])
+        of = counts.where(F.col("k") == k)
+        total = of.groupBy(F.col("suffix").alias("_s")).agg(F.sum("n").alias("_n"), F.sum("blocked").alias("_b"))
+        df = df.join(F.broadcast(total), F.substring_index("host", ".", -k) == F.col("_s"), "left").drop("_s")
+        n, b = F.coalesce("_n", F.lit(0)), F.coalesce("_b", F.lit(0.0))
+        if held_out:
+            own = of.select(F.col("suffix").alias("_s"), F.col("fold").alias("_f"), F.col("n").alias("_on"), F.col("blocked").alias("_ob"))
+            df = df.join(F.broadcast(own), (F.substring_index("host", ".", -k) == F.col("_s")) & (F.col("fold") == F.col("_f")), "left")
+            n, b = n - F.coalesce("_on", F.lit(0)), b - F.coalesce("_ob", F.lit(0.0))
+        df = df.withColumn(name, (b + 10 * prior) / (n + 10)).drop("_s", "_f", "_n", "_b", "_on", "_ob")
     return df
 
 
-def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", trees: int = 8, depth: int = 4) -> DataFrame:
-    """The rows with host, path, rule and verdict (allow or block), and ``block_score`` where the trees decided."""
+def examples_of(labelled: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """At most ``most`` distinct labelled URLs (url, host, path, label), those whose hashes are lowest, in five folds."""
+    picked = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(most)
+    return picked.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(5)))
+
+
+def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", trees: int = 8, depth: int = 4, labels: DataFrame | None = None) -> DataFrame:
+    """The rows with host, path, rule and verdict (allow or block), and ``block_score`` where the trees decided.
+    labels: ``(url, label)``, label 1 to block, to train on instead of the URLs that the rules decide."""
     stage = Stage(pages.sparkSession, "urls")
-    url = F.col(url_col)
-    split = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    ruled = split.withColumn("_decided", decide(F.col("host"), F.col("path"), rules))
-    labelled = ruled.where("_decided is not null").select(url.alias("url"), "host", "path", F.when(F.col("_decided.verdict") == "block", 1.0).otherwise(0.0).alias("label")).distinct()
-    sample = stage.save(labelled.orderBy(F.xxhash64("url"), "url").limit(EXAMPLES), "examples")
+    row = pages.select(F.struct("*").alias("row"), F.col(url_col).alias("url"))  # the caller's columns keep to themselves
+    ruled = row.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    ruled = ruled.withColumn("decided", decide(F.col("host"), F.col("path"), rules))
+    if labels is None:
+        labelled = ruled.where("decided is not null").select("url", "host", "path", F.when(F.col("decided.verdict") == "block", 1.0).otherwise(0.0).alias("label"))
+    else:
+        labelled = labels.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label")).where("label is not null")
+    sample = stage.save(examples_of(labelled), "examples")
     kinds = [r[0] for r in sample.select("label").distinct().collect()]
-    verdict = F.coalesce("_decided.verdict", F.lit("block" if kinds == [1.0] else "allow"))
+    verdict = F.coalesce("decided.verdict", F.lit("block" if kinds == [1.0] else "allow"))
     score = F.lit(None).cast("double")
     if len(kinds) == 2:
         prior = sample.agg(F.avg("label")).first()[0]
-        suffix = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring_index("host", ".", -k).alias("suffix")) for k in (1, 2))))
-        stats = stage.save(sample.select("label", suffix.alias("s")).groupBy("s.k", "s.suffix").agg(((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias("share")), "suffixes")
-        assemble = lambda df, of: _suffixes(df.withColumns({k: v.cast("double") for k, v in features(of, F.col("host"), F.col("path")).items()}), stats, prior)
-        examples = assemble(sample, F.col("url"))
+        counts = stage.save(_suffix_counts(sample), "suffixes")
+        assemble = lambda df, held_out: _suffixes(df.withColumns({k: v.cast("double") for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()}), counts, prior, held_out)
+        examples = assemble(sample, True)
         names = [c for c in examples.columns if c.startswith("f_")]
-        assembler = VectorAssembler(inputCols=names, outputCol="_features")
-        boosted = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, cacheNodeIds=False)
-        boosted.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p")
-        model = boosted.fit(assembler.transform(examples).select("_features", "label"))
-        model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p")
-        ruled = model.transform(assembler.transform(assemble(ruled, url)))
-        p = vector_to_array("_p")[1]
-        score = F.when(F.col("_decided").isNull(), p)
-        verdict = F.coalesce("_decided.verdict", F.when(p >= 0.5, "block").otherwise("allow"))
-    results = ["host", "path", "rule", "verdict", "block_score"]
-    kept = [c for c in pages.columns if c not in results]
-    return ruled.withColumns({"rule": F.col("_decided.rule"), "verdict": verdict, "block_score": score}).select(*kept, *results)
+        assembler = VectorAssembler(inputCols=names, outputCol="features")
+        boosted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7, cacheNodeIds=False)
+        boosted.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("p")
+        model = boosted.fit(assembler.transform(examples).select("features", "label"))
+        model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("p")
+        ruled = model.transform(assembler.transform(assemble(ruled, False)))
+        p = vector_to_array("p")[1]
+        score = F.when(F.col("decided").isNull(), p)
+        verdict = F.coalesce("decided.verdict", F.when(p >= 0.5, "block").otherwise("allow"))
+    results = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("decided.rule"), "verdict": verdict, "block_score": score}
+    kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in results]
+    return ruled.select(*kept, *(c.alias(n) for n, c in results.items()))
