@@ -34,41 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage
+from .common import Stage, free_names, text_key
+from .hashing import Hasher, mixed
 
 GRAM = 16
 #: Bytes handled at once in a task: some twenty arrays of eight times this size.
 PIECE = 1 << 20
 #: Rows after which a task folds and hands on what it has found.
 FOLD = 1 << 20
-#: An odd base: powers of it can be undone modulo 2^64. Strings up to 2^10 bytes are safe from Thue-Morse collisions.
-BASE = 0x9E3779B97F4A7C15
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hasher:
-    """Hashes of any substring of a buffer from one running sum, modulo 2^64."""
-
-    def __init__(self, most: int, salt: int):
-        base = np.uint64(BASE + 2 * salt)
-        undo = np.uint64(pow(int(base), -1, 1 << 64))
-        self.letters = _mixed(np.arange(1, 257, dtype=np.uint64) + np.uint64(salt << 32))
-        self.up, self.down = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(most, x, np.uint64)))) for x in (base, undo))
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letters[data] * self.up[: len(data)], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mixed((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
-
 
 def _first_least(values: np.ndarray, width: int) -> np.ndarray:
     """Index of the least value in each window of ``width``; the first one of equals. Doubling, then two windows meet."""
@@ -91,7 +64,7 @@ class Parser:
         self.length, self.spread = length, (length - GRAM) * 5 // 12
         self.margin = 2 * self.spread + length + GRAM + 1
         self.most = PIECE + 2 * self.margin + 16
-        self.a, self.b = _Hasher(self.most, 1), _Hasher(self.most, 2)
+        self.a, self.b = Hasher(self.most, 1), Hasher(self.most, 2)
 
     def spines(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, more: np.ndarray, begin: np.ndarray, end: np.ndarray):
         """Rows (spine, margins, owner, first start, starts) of the runs that begin within the starts [lo, hi) of each
@@ -118,7 +91,7 @@ class Parser:
         spine = self.a.of(sums, x, y + GRAM)
         # what the text's ends cut off must agree as well
         cut = (x - left).astype(np.uint64) << np.uint64(32) | (right - y).astype(np.uint64)
-        margins = self.b.of(sums2, left, right) ^ _mixed(cut)
+        margins = self.b.of(sums2, left, right) ^ mixed(cut)
         return spine, margins, owner, p[first], count
 
     def strings(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -182,7 +155,7 @@ def _emit(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     # the kept row speaks for all; others that repeat here are marked at once and need no company
     yield _batch(rows["s"][kept], rows["g"][kept], rows["th"][kept], run[kept])
     if len(told):
-        own = _mixed(rows["th"][told].view(np.uint64) + rows["start"][told].astype(np.uint64))
+        own = mixed(rows["th"][told].view(np.uint64) + rows["start"][told].astype(np.uint64))
         yield _batch(own, own, rows["th"][told], run[told] | 1)
 
 
@@ -259,7 +232,7 @@ def _string_rows(length: int):
                         low = int(start[a])
                         data = raw[low : int((start[a:b] + count[a:b]).max()) + length]
                         h = hasher.of(hasher.sums(data), p - low, p - low + length)
-                        yield {"s": _mixed(np.repeat(s[a:b], count[a:b]) ^ h), "g": h, "th": np.full(len(p), th, np.int64), "start": p, "count": np.ones(len(p), np.int64)}
+                        yield {"s": mixed(np.repeat(s[a:b], count[a:b]) ^ h), "g": h, "th": np.full(len(p), th, np.int64), "start": p, "count": np.ones(len(p), np.int64)}
                         a = b
 
         yield from _gathered(found())
@@ -277,16 +250,10 @@ def covered(start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarr
     return a[first], b[np.append(first[1:] - 1, len(b) - 1)] if len(b) else b
 
 
-def text_key(text: Column) -> Column:
-    """Equal texts share results; rows of the parse carry this and no row id."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, stage: Stage, key: Column, text_col: str = "text", length: int = 400) -> DataFrame:
     """``(th, text, spans)`` for each distinct text with repeated bytes; spans are byte offsets ``(start, stop)``,
-    ordered. ``th`` is ``text_key`` of the text."""
-    stage = Stage(docs.sparkSession, "passages")
-    texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", text_key(F.col("text")))
+    ordered. ``th`` is the text's ``key``, made by ``text_key``."""
+    texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), key.alias("th"))
     long_ = texts.where(F.octet_length("text") >= length)
     keyed = long_.mapInArrow(_spine_rows(length), KEYED)
     marks = stage.save(_marks(_resolved(keyed)), "marks")
@@ -318,7 +285,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
-    found = repeated_spans(docs, text_col, length)
+    stage = Stage(docs.sparkSession, "passages")
+    key = text_key(docs, text_col, stage)
+    found = repeated_spans(docs, stage, key, text_col, length)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +307,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     changed = found.mapInArrow(digest, "th long, n_removed long, n_spans long, sha string")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(id_col, F.octet_length(text).cast("long").alias("n_bytes"), text_key(text).alias("th"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    rows = docs.select(id_col, F.octet_length(text).cast("long").alias("n_bytes"), key.alias("th"), F.sha2(text.cast("binary"), 256).alias("whole"))
     joined = rows.join(changed, "th", "left")
     return joined.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
@@ -366,11 +335,13 @@ def _keep_rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_passages(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """The rows with repeated passages taken out of ``text_col``; characters stay whole; other columns as they were."""
-    spans = repeated_spans(docs, text_col, length).select(F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    stage = Stage(docs.sparkSession, "passages")
+    key, (th, cuts) = text_key(docs, text_col, stage), free_names(docs, "th", "cuts")
+    spans = repeated_spans(docs, stage, key, text_col, length).select(F.col("th").alias(th), F.col("spans").alias(cuts))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
         return _keep_rest(texts, spans_)
 
-    joined = docs.withColumn("_th", text_key(F.col(text_col))).join(spans, "_th", "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))).select(docs.columns)
+    joined = docs.withColumn(th, key).join(spans, th, "left")
+    return joined.withColumn(text_col, F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(cuts)))).select(docs.columns)

@@ -1,6 +1,6 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A 64-bit fingerprint is cut into ``segments`` parts. Two fingerprints at most ``max_distance`` bits apart differ by at
+A 64-bit fingerprint is cut into ``segments`` parts, as many as are cheapest for the number of fingerprints. Two fingerprints at most ``max_distance`` bits apart differ by at
 most ``max_distance // segments`` bits in one part, so each fingerprint asks a table of parts for a small Hamming ball
 around each of its own parts, and the complete distance of every match is verified. Of a pair, only the side whose
 lowest flipped bit is 0 asks, which halves the questions.
@@ -107,11 +107,6 @@ def _tile(max_distance: int):
                 label = lower
             hit = of_asked < far
             ends = [(asked[hit], kept[of_asked[hit]]), (kept, kept[label])]
-            # and each one's nearest other, the likeliest of its links to hold if texts are compared
-            nearest = [np.argmin(d + 65 * (d == 0), axis=1) for d in (np.bitwise_count(asked[i : i + TILE, None] ^ kept[None, :]).astype(np.int16) for i in range(0, len(asked), TILE))]
-            best = np.concatenate(nearest)
-            close = near[np.arange(len(asked)), best]
-            ends.append((asked[close], kept[best[close]]))
         a, b = (np.concatenate([x[i] for x in ends]).view(np.int64) if ends else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
@@ -142,12 +137,16 @@ def near_pairs(fps: DataFrame, stage: Stage, max_distance: int = 4, segments: in
     return pairs.union(tiles)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int | None = None) -> DataFrame:
     """One row per input row: the id, ``fp`` (long) and ``component_id``, the smallest id reachable by links."""
     stage = Stage(docs.sparkSession, "simhash")
     marked = stage.save(docs.select(id_col, fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     nodes = stage.save(marked.groupBy("fp").agg(F.min(id_col).alias("_least")), "nodes")
-    links = stage.save(near_pairs(nodes.select("fp"), stage, max_distance, segments), "pairs")
+    n = nodes.count()
+    parts = segments or cheapest_parts(n, max_distance)
+    # tiles are for families of near copies: more than chance puts into a part
+    chance = n / 2 ** (BITS // parts)
+    links = stage.save(near_pairs(nodes.select("fp"), stage, max_distance, parts, max(64, int(8 * chance))), "pairs")
     roots = connected_components(links, stage)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
@@ -155,164 +154,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(table, "fp").select(id_col, "fp", "component_id")
 
 
-def _shingle_sets(width: int):
-    """The distinct hashes of each text's shingles, sorted; a text without words has the empty string as its shingle."""
-
-    def of(texts: pa.Array) -> pa.Array:
-        import xxhash
-
-        out = []
-        for text in texts.cast(pa.large_binary()).to_pylist():
-            words = (text or b"").lower().split()
-            grams = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))}
-            out.append(np.sort(np.fromiter(grams, np.uint64, len(grams)).view(np.int64)))
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return F.arrow_udf(of, "array<long>")
-
-
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = x.values.to_numpy(), y.values.to_numpy()
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / max(1, len(x) + len(y) - both))
-    return pa.array(out, pa.float64())
-
-
-#: Texts whose shingles are counted to find the common ones, and the most common ones that are put last.
-SAMPLE, COMMON = 20_000, 100_000
-#: Members outside a bucket's largest class up to which they are paired with the others as rows; beyond, in tiles.
-FEW = 8
-#: Texts on a side of a tile.
-BLOCK = 256
-
-
-def _prefixes(similarity: float, common: np.ndarray, count: np.ndarray):
-    """Rows (h, node, size, pos) of the first shingles of each set, common ones last, so many that two sets of this
-    similarity share one of them. Any order of shingles that is the same for all sets gives the same links."""
-
-    def rows(batches):
-        for batch in batches:
-            lists = batch.column("s")
-            h, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
-            size = np.diff(ends, prepend=0)
-            owner = np.repeat(np.arange(len(size)), size)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                h = h[np.lexsort((h, np.where(common[at] == h, count[at], 0), owner))]
-            pos = np.arange(len(h)) - (ends - size)[owner]
-            first = pos <= (size - np.ceil(similarity * size - 1e-9))[owner]
-            node = batch.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[first], node[owner[first]], size[owner[first]].astype(np.int32), pos[first].astype(np.int32))], names=["h", "node", "size", "pos"])
-
-    return rows
-
-
-def _verified(similarity: float):
-    """Links of a tile: each text of block i is compared with those of block j that no link joins to it yet."""
-
-    def tile(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        node, mine = rows["node"].to_numpy(), rows["mine"].to_numpy()
-        label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
-        lists = rows["s"].to_pylist()
-        size = np.array([len(x) for x in lists])
-        start = np.cumsum(size) - size
-        ids = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]), return_inverse=True)[1]
-        held, out = np.zeros(ids.max() + 1, np.int32), []
-        other = mine == key[2].as_py()
-        for k in np.flatnonzero(mine == key[1].as_py()):
-            todo = other & (label != label[k])
-            if not todo.any():
-                continue
-            own = ids[start[k] : start[k] + size[k]]
-            held[own] = 1
-            both = np.add.reduceat(held[ids], start)
-            held[own] = 0
-            hit = np.flatnonzero(todo & (both / (size + size[k] - both) >= similarity))
-            out += [(node[k], node[m]) for m in hit]
-            label[np.isin(label, label[hit])] = label[k]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return tile
-
-
-def text_node(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def similar_texts(docs: DataFrame, stage: Stage, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``(node, root)`` for every distinct text that is linked to another; ``node`` is ``text_node``.
-
-    Every pair of texts of this similarity is found (prefix filter): their sets share one of their first shingles, so
-    they meet in a bucket. In a bucket each text is first compared with one leader; where that leaves more than one
-    class, all pairs of different classes are compared, few of them as rows, many in tiles of bounded blocks.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(text_node(F.col(text_col)).alias("node"), F.coalesce(text_col, F.lit("")).alias("t")).groupBy("node").agg(F.first("t").alias("t"))
-    sets = stage.save(texts.select("node", _shingle_sets(shingle)("t").alias("s")), "shingles")
-    sample = sets.where(F.pmod(F.col("node"), F.lit(max(1, sets.count() // SAMPLE))) == 0)
-    often = sample.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c >= 16").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
-    order = np.argsort(often["h"].to_numpy())
-    rows = sets.mapInArrow(_prefixes(similarity, often["h"].to_numpy()[order], often["c"].to_numpy()[order]), "h long, node long, size int, pos int")
-    leads = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "pos")).alias("lead")).where("n > 1")
-    shared = stage.save(rows.join(leads, "h"), "shared")
-
-    def may(a: str, b: str) -> Column:  # holds in the bucket of the first shingle that a similar pair shares
-        rest = F.least(F.col(f"{a}size") - F.col(f"{a}pos"), F.col(f"{b}size") - F.col(f"{b}pos"))
-        return rest >= (F.col(f"{a}size") + F.col(f"{b}size")) * (similarity / (1 + similarity)) - 1e-6
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        return compared.where(F.arrow_udf(_similarity, "double")("x", "y") >= similarity).select("a", "b")
-
-    stars = stage.save(shared.where((F.col("node") != F.col("lead.node")) & may("", "lead.")).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = stage.save(verified(stars), "star-links")
-    roots = connected_components(links, Stage(spark, "similar-stars"))
-    classed = stage.save(shared.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
-    stage.drop("shared")
-    classes = classed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
-    open_ = classes.where("most.c < all").select("h", F.col("most.root").alias("most"), (F.col("all") - F.col("most.c")).alias("minor"))
-    left = stage.save(classed.join(open_, "h"), "open")
-    stage.drop("classed")
-    side = lambda df, p: df.select("h", *(F.col(c).alias(f"{p}{c}") for c in ("node", "root", "size", "pos", "most")))
-    few = left.where(F.col("minor") <= FEW)
-    met = side(few.where("root <> most"), "a_").join(side(few, "b_"), "h")
-    met = met.where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_most")) | (F.col("a_node") < F.col("b_node"))) & may("a_", "b_"))
-    pairs = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    found = stage.save(verified(pairs), "pair-links")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = left.where(F.col("minor") > FEW).withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("h", F.least("mine", "m").alias("i"), F.greatest("mine", "m").alias("j"), "mine", "node", "root").join(sets, "node")
-    tiled = stage.save(many.groupBy("h", "i", "j").applyInArrow(_verified(similarity), "a long, b long"), "tile-links")
-    stage.drop("open")
-    stage.drop("shingles")
-    return connected_components(links.union(found).union(tiled), stage)
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per input row with an id: the id and ``component_id``, linking texts whose sets of ``shingle``-word
-    shingles have at least this Jaccard similarity."""
-    stage = Stage(docs.sparkSession, "similar")
-    rows = docs.where(F.col(id_col).isNotNull())
-    roots = similar_texts(rows, stage, text_col, shingle, similarity)
-    marked = rows.select(F.col(id_col).alias("id"), text_node(F.col(text_col)).alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = marked.groupBy("root").agg(F.min("id").alias("component_id"))
-    return marked.join(named, "root").select(F.col("id").alias(id_col), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Exactly one row of each group of similar texts: the one with the smallest id, null ids last. Rows are named by id
-    and text, so rows that repeat both are one, and those that share an id only are judged each by its text."""
-    stage = Stage(docs.sparkSession, "similar")
-    roots = similar_texts(docs, stage, text_col, shingle, similarity)
-    node = text_node(F.col(text_col))
-    row = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), node)
-    first = docs.select(node.alias("node"), F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), row.alias("row")).alias("k")).groupBy("node").agg(F.min("k").alias("k"))
-    kept = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.row").alias("_row"))
-    return docs.withColumn("_row", row).dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(docs.columns)
-
-
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -89,97 +89,5 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(docs).count() == 0
 
 
-def test_similar_documents(spark):
-    rng = random.Random(11)
-    words = [f"wörd{i}" for i in range(400)]
-    base, rows = [rng.choices(words, k=300) for _ in range(6)], []
-    for i in range(90):
-        t = list(rng.choice(base))
-        for _ in range(rng.choice([0, 1, 2, 3, 40])):
-            t[rng.randrange(len(t))] = rng.choice(words)
-        rows.append((i, " ".join(t), "en"))
-    rows += [(100 + i, " ".join(rng.choices(words, k=200)), "en") for i in range(20)]
-    rows += [(None, rows[0][1], "en"), (200, None, "en"), (201, "", "en"), (202, "short text", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
-    sets = {i: grams(t or "") for i, t, _ in rows if i is not None}
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    assert got == {i: find(i) for i in sets}
-
-
 def test_parts_follow_the_size():
     assert simhash.cheapest_parts(10**5, 8) > simhash.cheapest_parts(10**9, 8) >= 2
-
-
-def _check_groups(spark, texts):
-    """similar_documents against the closure of all pairs of Jaccard 0.8; how many pairs there are."""
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    words = [t.split() for t in texts]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
-    root, pairs = list(range(len(texts))), 0
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for j in range(len(texts)):
-        for i in range(j):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                pairs += 1
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    assert got == {i: find(i) for i in range(len(texts))}
-    return pairs
-
-
-def _edited(rng, words, text, n):
-    t = list(text)
-    for k in rng.sample(range(len(t)), n):
-        t[k] = rng.choice(words)
-    return t
-
-
-def test_every_pair_of_a_family_is_verified(spark, monkeypatch):
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(5000)]
-    base = rng.choices(words, k=120)
-    family = []
-    for _ in range(60):  # two by two alike, each pair too far from all others of the family
-        t = _edited(rng, words, base, 4)
-        family += [" ".join(t), " ".join(_edited(rng, words, t, 2))]
-    rng.shuffle(family)
-    monkeypatch.setattr(simhash, "BLOCK", 32, raising=False)
-    assert _check_groups(spark, family) >= 60
-
-
-def test_scattered_changes_are_found(spark):
-    rng = random.Random(6)
-    words = [f"w{i}" for i in range(3000)]
-    texts = []
-    for k, edits in ((40, 1), (60, 1), (100, 2), (200, 4), (400, 8)):
-        for _ in range(60):
-            t = rng.choices(words, k=k)
-            texts += [" ".join(t), " ".join(_edited(rng, words, t, edits))]
-    assert _check_groups(spark, texts) >= 150
-
-
-def test_equal_fingerprints_are_compared(spark):
-    rng = random.Random(8)
-    texts = []
-    for _ in range(60):
-        t = [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(240)]
-        t[100:100] = ["-"] * 60
-        texts.append(" ".join(t))
-    assert _check_groups(spark, texts) == 0
