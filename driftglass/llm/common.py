@@ -26,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Tables written to the shared folder, so that a lost executor costs a re-read and not a recomputation."""
 
@@ -34,8 +37,12 @@ class Stage:
         self.root = f"{shared_dir(spark)}/driftglass-{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{self.root}/{label}"
-        df.write.mode("overwrite").parquet(path)
+        path, keep = f"{self.root}/{label}", self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")  # the written table is read from here on, not the shuffles behind it
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, keep)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:
