@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written: it is read from there on, not the shuffles behind it; and Python workers get small batches.
+_WRITING = {"spark.sql.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 class Stage:
@@ -37,12 +38,15 @@ class Stage:
         self.root = f"{shared_dir(spark)}/driftglass-{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        path, keep = f"{self.root}/{label}", self.spark.conf.get(_CLEANUP)
-        self.spark.conf.set(_CLEANUP, "true")  # the written table is read from here on, not the shuffles behind it
+        path, conf = f"{self.root}/{label}", self.spark.conf
+        before = {k: conf.get(k) for k in _WRITING}
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, keep)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:

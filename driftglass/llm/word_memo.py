@@ -28,7 +28,7 @@ _ODD = "[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "] "
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", "[.,;:!?]*"
 _SIMPLE = f"^(?P<stem>{_LETTERS})(?P<tail>{_MARKS})(?:(?P<line>\n)(?P<more>{_LETTERS})(?P<rest>{_MARKS}))?$"
 #: Words and pre-tokens are remembered up to this many; then the older generation is let go.
-MOST = 250_000
+MOST = 150_000
 #: Bytes of text that are encoded together.
 SLICE = 1 << 22
 
@@ -185,6 +185,7 @@ class WordMemo:
             code = np.insert(code, ends[1:], known + len(whole))
             ends = ends + np.arange(len(ends))
         ids, stops = _joined(tables).rows(code)
+        pa.default_memory_pool().release_unused()
         return ids, np.concatenate((np.zeros(1, np.int64), stops))[ends[1:]]
 
 
