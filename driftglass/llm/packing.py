@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import trim
 from .word_memo import memo_for
 
 #: The share of an example that is context unless the caller says otherwise.
@@ -148,6 +149,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
     and the sequence, offset and segment where it lies. ``tokenizer`` is the path of a tokenizers file."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         memo = memo_for(tokenizer, spaced)
 
         def examples() -> Iterator[_Example]:

@@ -36,6 +36,7 @@ from pyspark.sql.window import Window
 
 from .common import Stage, free_names, text_key
 from .hashing import Hasher, mixed
+from .memory import trim
 
 GRAM = 16
 #: Bytes handled at once in a task: some twenty arrays of eight times this size.
@@ -173,6 +174,8 @@ def _gathered(found: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch
             held, size = [], 0
     if size:
         yield from _emit({k: np.concatenate([r[k] for r in held]) for k in held[0]})
+    held.clear()
+    trim()
 
 
 def _spine_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

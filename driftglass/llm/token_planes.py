@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Stage
+from .memory import trim
 from .word_memo import memo_for
 
 BLOCK = 1 << 16
@@ -55,6 +56,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     """Encodes every text, appends the end id, and writes the blocks to ``path`` in ascending order of ids."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         memo, part = memo_for(tokenizer, spaced), TaskContext.get().partitionId()
         block, first, held, size, pieces, doc, start = 0, 0, [], 0, [], 0, 0
 

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .memory import trim
+
 _WORD_STARTS = re.compile(r"(?<=\S)(?= )")
 #: White space before a space: there the space does not follow a word. These are all characters that ``\s`` matches.
 _ODD = "[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "] "
@@ -30,7 +32,7 @@ _SIMPLE = f"^(?P<stem>{_LETTERS})(?P<tail>{_MARKS})(?:(?P<line>\n)(?P<more>{_LET
 #: Words and pre-tokens are remembered up to this many; then the older generation is let go.
 MOST = 150_000
 #: Bytes of text that are encoded together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def _byte_letters() -> dict[int, str]:
@@ -151,12 +153,11 @@ class WordMemo:
     def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Slices of the texts in order: (their ids in a row, unsigned 32-bit; where each text ends). Null is empty; an
         end id, if given, follows each text."""
-        texts = texts.cast(pa.large_string())
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
         before, at = np.cumsum(sizes) - sizes, 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(before, before[at] + SLICE)))
-            yield self._slice(pc.fill_null(texts.slice(at, stop - at), ""), end_id)
+            yield self._slice(pc.fill_null(texts.slice(at, stop - at).cast(pa.large_string()), ""), end_id)
             at = stop
 
     def _slice(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +186,7 @@ class WordMemo:
             code = np.insert(code, ends[1:], known + len(whole))
             ends = ends + np.arange(len(ends))
         ids, stops = _joined(tables).rows(code)
-        pa.default_memory_pool().release_unused()
+        trim()
         return ids, np.concatenate((np.zeros(1, np.int64), stops))[ends[1:]]
 
 
