@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .matching import match_trains
 from .signal import chunked, finite_runs, peaks
@@ -31,6 +33,27 @@ def spikes(x: np.ndarray, sigmas: float, refractory: int) -> np.ndarray:
     return np.array(out, int)
 
 
+def lock_tests(events: DataFrame, keys: list[str], part: str, at: str, period: float, tolerance: float, least: int) -> DataFrame:
+    """Per key and part: is the train locked to a line of ``period``? Counts the intervals within ``tolerance`` of a whole
+    multiple of it, and gives the chance of as many by independent intervals; parts of fewer than ``least`` intervals are
+    not tested. The tail is summed from its first term, each from the one before."""
+    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*keys, part).orderBy(at))
+    off = F.abs(F.col("_gap") - period * F.rint(F.col("_gap") / period))
+    locked = (F.rint(F.col("_gap") / period) >= 1) & (off <= tolerance)
+    counts = events.withColumn("_gap", gap).groupBy(*keys, part).agg(F.count("*").alias("n_spikes"), F.count("_gap").alias("m_intervals"), F.count_if(locked).alias("k_locked"))
+    p0 = min(1.0, 2 * tolerance / period)
+
+    def step(s: Column, j: Column) -> Column:
+        term = s["term"] * (F.col("m_intervals") - j + 1) / j * (p0 / (1 - p0))
+        return F.struct(term.alias("term"), (s["tail"] + F.when(j >= F.col("k_locked"), term).otherwise(0.0)).alias("tail"))
+
+    none = F.pow(F.lit(1 - p0), F.col("m_intervals"))
+    start = F.struct(none.alias("term"), F.when(F.col("k_locked") == 0, none).otherwise(0.0).alias("tail"))
+    tail = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("m_intervals"), F.lit(1)).cast("int")), start, step)["tail"]
+    tested = F.col("m_intervals") >= least
+    return counts.withColumn("status", F.when(tested, "tested").otherwise("untested_few_spikes")).withColumn("p", F.when(tested, F.least(F.lit(1.0), tail)))
+
+
 def template_of(x: np.ndarray, at: np.ndarray, half: int) -> np.ndarray | None:
     """Mean window around events, of unit norm; none where no window is whole."""
     windows = [x[i - half : i + half + 1] for i in at if i >= half and i + half < len(x)]

@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,6 +69,29 @@ def leave_one_out(rows: DataFrame, features: list[str], group: str, targets: lis
     return out
 
 
+def adapted(rows: DataFrame, features: list[str], group: str, targets: list[str], admitted: Column, rate: float, boost: float = 3.0, y: str = "y", trees: int = 5) -> DataFrame:
+    """Scores of each target's rows by a model of all the other groups and of the target's own ``admitted`` rows, which
+    weigh ``boost`` times as much; ``status`` says which rows were admitted, and those are not scored. A target whose
+    admitted rows lack a class is ``refused`` and gets no model."""
+    marked = rows.withColumn("_in", F.coalesce(admitted, F.lit(False)))
+    both = marked.where("_in").groupBy(group).agg(F.countDistinct(y).alias("n")).where("n > 1")
+    able = {r[group] for r in both.where(F.col(group).isin(targets)).collect()}
+    out = None
+    for target in targets:
+        own = marked.where(F.col(group) == target)
+        status = F.when(F.col("_in"), "admitted").otherwise("scored" if target in able else "refused")
+        part = own.withColumn("p", F.lit(None).cast("double")).withColumn("model", F.lit(None).cast("string"))
+        if target in able:
+            others = weighted(marked.where(F.col(group) != target), y, rate)
+            train = others.unionByName(weighted(own.where("_in"), y, rate).withColumn("weight", F.col("weight") * boost))
+            fitted = scores(boosted(features, y, trees).fit(train), own.where("not _in"))
+            name = model_id({"features": features, "target": target, "trees": trees, "boost": boost})
+            part = fitted.withColumn("model", F.lit(name)).unionByName(part.where("_in"))
+        part = part.withColumn("status", status).drop("_in")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def platt(rows: DataFrame, p: str, y: str) -> tuple[float, float]:
     """(slope, intercept) of a logistic fit on the logit."""
     clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
@@ -93,12 +116,14 @@ def crossfit(rows: DataFrame, p: str, y: str, group: str, bins: int = 20) -> Dat
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], y: str, seed: int = 7) -> DataFrame:
-    """(feature, drop): mean squared error gained when a feature takes the value of another row, paired by hash order."""
-    spark, base = rows.sparkSession, _error(model, rows, y)
+    """(feature, drop): mean squared error gained when a feature takes the value of another row: the next in the hash order
+    of a block of some 10,000 rows, the first of the block for its last."""
+    spark, base, blocks = rows.sparkSession, _error(model, rows, y), rows.count() // 10_000 + 1
     found = []
     for f in features:
-        w = Window.orderBy(F.xxhash64(F.lit(seed), F.lit(f), *features))
-        moved = rows.withColumn(f, F.lead(f, 1).over(w)).where(F.col(f).isNotNull())
+        h = F.xxhash64(F.lit(seed), F.lit(f), *features)
+        w = Window.partitionBy(F.pmod(F.xxhash64(h), F.lit(blocks))).orderBy(h)
+        moved = rows.withColumn(f, F.coalesce(F.lead(f, 1).over(w), F.first(f).over(w)))
         found.append((f, _error(model, moved, y) - base))
     return spark.createDataFrame(found, "feature string, drop double")
 

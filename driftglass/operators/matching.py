@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .ranking import bursts
 
 
 def match_trains(reference: np.ndarray, test: np.ndarray, within: float) -> tuple[int, int, int, float]:
@@ -25,14 +29,22 @@ def match_trains(reference: np.ndarray, test: np.ndarray, within: float) -> tupl
 
 
 def greedy_train_match(reference: DataFrame, test: DataFrame, keys: list[str], within: float) -> DataFrame:
-    """Per key of either side: matched, lost, added and shift. A key's two trains meet in one task."""
+    """Per key of either side: matched, lost, added and shift. The trains are cut at gaps above the tolerance, which no
+    match crosses; only bursts that hold events of both sides are matched, the others are counted."""
+    names = [*keys, "matched", "lost", "added", "shift"]
 
-    def fold(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = match_trains(left["t"].to_numpy(), right["t"].to_numpy(), within)
-        names = [*keys, "matched", "lost", "added", "shift"]
-        return pa.table({n: [v.as_py() if hasattr(v, "as_py") else v] for n, v in zip(names, [*key, *row], strict=True)})
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        t, side = rows["t"].to_numpy(), rows["side"].to_numpy()
+        row = match_trains(t[side == 0], t[side == 1], within)
+        return pa.table({n: [v.as_py() if hasattr(v, "as_py") else v] for n, v in zip(names, [*key[:-1], *row], strict=True)})
 
     kinds = dict(reference.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["matched long", "lost long", "added long", "shift double"])
-    a, b = (df.select(*keys, "t").groupBy(*keys) for df in (reference, test))
-    return a.cogroup(b).applyInArrow(fold, schema)
+    both = reference.select(*keys, "t", F.lit(0).alias("side")).unionByName(test.select(*keys, "t", F.lit(1).alias("side")))
+    cut = bursts(both, keys, "t", lambda gap: gap > within)
+    whole = Window.partitionBy(*keys, "_burst")
+    cut = cut.withColumn("mixed", F.min("side").over(whole) < F.max("side").over(whole))
+    met = cut.where("mixed").select(*keys, "_burst", "t", "side").groupBy(*keys, "_burst").applyInArrow(fold, schema)
+    alone = cut.where("not mixed").groupBy(*keys).agg(F.lit(0).cast("long").alias("matched"), F.count_if(F.col("side") == 0).alias("lost"), F.count_if(F.col("side") == 1).alias("added"), F.lit(0.0).alias("shift"))
+    parts = met.unionByName(alone).groupBy(*keys)
+    return parts.agg(*(F.sum(n).alias(n) for n in ("matched", "lost", "added")), F.max("shift").alias("shift"))

@@ -1,10 +1,14 @@
 """Selections that depend on order: refractory times, suppression, step-down tests and balancing.
 
-Folds run over an array of one key's rows inside the JVM. A key's array is its events, not its samples.
+Folds run inside the JVM over arrays of bursts: a key's rows are cut wherever a gap lets nothing reach across.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,11 +20,19 @@ def _ordered(rows: DataFrame, keys: list[str], *columns: Column | str) -> DataFr
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
 
 
+def bursts(rows: DataFrame, keys: list[str], at: str, apart: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``_burst``, a number that grows wherever the distance from the row before is ``apart``."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    cut = rows.withColumn("_new", F.coalesce(apart(F.col(at) - F.lag(at).over(w)), F.lit(False)).cast("int"))
+    return cut.withColumn("_burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def refractory(rows: DataFrame, keys: list[str], at: str, least: float) -> DataFrame:
     """Keeps the first row and each later one at least ``least`` after the last kept."""
     empty = F.array().cast(f"array<{dict(rows.dtypes)[at]}>")
     step = lambda kept, x: F.when((F.size(kept) == 0) | (x[at] - F.element_at(kept, -1) >= least), F.concat(kept, F.array(x[at]))).otherwise(kept)
-    return _ordered(rows, keys, at).select(*keys, F.explode(F.aggregate("_rows", empty, step)).alias(at))
+    cut = bursts(rows.select(*keys, at), keys, at, lambda gap: gap >= least)
+    return _ordered(cut, [*keys, "_burst"], at).select(*keys, F.explode(F.aggregate("_rows", empty, step)).alias(at))
 
 
 def suppress(rows: DataFrame, keys: list[str], at: str, strength: str, least: float) -> DataFrame:
@@ -35,7 +47,8 @@ def suppress(rows: DataFrame, keys: list[str], at: str, strength: str, least: fl
         near = x[at] - last[at] < least
         return F.when((F.size(kept) == 0) | ~near, F.concat(kept, F.array(x))).when(x[strength] > last[strength], F.concat(head, F.array(x))).otherwise(kept)
 
-    return _ordered(rows, keys, at, strength).select(*keys, F.inline(F.aggregate("_rows", empty, step)))
+    cut = bursts(rows.select(*keys, at, strength), keys, at, lambda gap: gap >= least)
+    return _ordered(cut, [*keys, "_burst"], at, strength).select(*keys, F.inline(F.aggregate("_rows", empty, step)))
 
 
 def holm(tests: DataFrame, family: list[str], p: str, alpha: float, ties: list[str]) -> DataFrame:
@@ -69,12 +82,22 @@ def best_threshold(rows: DataFrame, steps: int) -> DataFrame:
 
 
 def balance(rows: DataFrame, keys: list[str], at: str, allowed: str) -> DataFrame:
-    """Adds ``chosen``: in order of ``at`` each row takes the allowed value that its key has used least so far."""
-    kind = dict(rows.dtypes)[at]
-    empty = F.array().cast(f"array<struct<{at}: {kind}, chosen: string>>")
+    """Adds ``chosen``: in order of ``at`` each row takes the allowed value that its key has used least so far, the first
+    of equals; null where nothing is allowed. Each choice depends on all before it, so a key is one pass over sorted
+    rows; the pass holds a counter per value, and no rows."""
+    names = [*keys, at, allowed]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, uses = None, Counter()
+        for batch in batches:
+            chosen = []
+            for *key, options in zip(*(batch[k].to_pylist() for k in keys), batch[allowed].to_pylist(), strict=True):
+                if key != last:
+                    last, uses = key, Counter()
+                chosen.append(min(options, key=uses.__getitem__) if options else None)
+                uses[chosen[-1]] += 1
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names[:-1]), pa.array(chosen, pa.string())], [*names[:-1], "chosen"])
 
-    def step(done: Column, x: Column) -> Column:
-        uses = F.transform(x[allowed], lambda c: F.struct(F.size(F.filter(done, lambda d: d["chosen"] == c)).alias("n"), F.array_position(x[allowed], c).alias("i"), c.alias("c")))
-        return F.concat(done, F.array(F.struct(x[at].alias(at), F.array_min(uses)["c"].alias("chosen"))))
-
-    return _ordered(rows, keys, at, allowed).select(*keys, F.inline(F.aggregate("_rows", empty, step)))
+    kinds = dict(rows.dtypes)
+    ordered = rows.select(*names).repartition(*keys).sortWithinPartitions(*names)
+    return ordered.mapInArrow(choose, ", ".join([*(f"{n} {kinds[n]}" for n in names[:-1]), "chosen string"]))

@@ -47,9 +47,9 @@ def hysteresis(df: DataFrame, keys: list[str], at: str, enter: Column, leave: Co
     return true_runs(flagged, keys, at, block, _enter=F.max("_enter"), **members).where("_enter").drop("_enter")
 
 
-def complement(intervals: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+def complement(intervals: DataFrame, bounds: DataFrame, keys: list[str], block: float | None = None) -> DataFrame:
     """Gaps ``[start, stop)`` of each key's bounds ``[lo, hi)`` that the merged intervals leave."""
-    merged = merge_intervals(intervals, keys)
+    merged = merge_intervals(intervals, keys, block=block)
     w = Window.partitionBy(*keys).orderBy("start")
     inner = merged.join(bounds, keys).select(*keys, "lo", "hi", F.greatest("start", "lo").alias("start"), F.least("stop", "hi").alias("stop")).where("start < stop")
     between = inner.select(*keys, F.coalesce(F.lag("stop").over(w), F.col("lo")).alias("a"), F.col("start").alias("b"))
@@ -58,5 +58,5 @@ def complement(intervals: DataFrame, bounds: DataFrame, keys: list[str]) -> Data
     return between.unionByName(last).unionByName(free).where("a < b").select(*keys, F.col("a").alias("start"), F.col("b").alias("stop"))
 
 
-def union_length(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    return merge_intervals(intervals, keys).groupBy(*keys).agg(F.sum(F.col("stop") - F.col("start")).alias("length"))
+def union_length(intervals: DataFrame, keys: list[str], block: float | None = None) -> DataFrame:
+    return merge_intervals(intervals, keys, block=block).groupBy(*keys).agg(F.sum(F.col("stop") - F.col("start")).alias("length"))

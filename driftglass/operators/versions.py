@@ -13,6 +13,13 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))).cast("binary"), 256)
 
 
+def multiset_digest(content: Column) -> Column:
+    """Aggregate: digest of a group's SHA-256 values, whatever their order. The values are added up as four words of 60
+    bits, so partial sums combine and no group is gathered; nulls are left out."""
+    words = (F.sum(F.conv(F.substr(content, F.lit(1 + 15 * i), F.lit(15)), 16, 10).cast("decimal(20,0)")) for i in range(4))
+    return F.sha2(F.concat_ws(",", *(w.cast("string") for w in words)).cast("binary"), 256)
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, change): added, removed or changed."""
     a = old.select(F.col(key), row_hash(columns).alias("_a"))

@@ -11,9 +11,10 @@ from driftglass.operators import detectors as D
 from driftglass.operators import learning as L
 from driftglass.operators import runs as R
 from driftglass.operators import signal as K
+from driftglass.operators.ranking import holm
 
 from .base import LOGS, query, scored, table
-from .metrics import labelled
+from .metrics import LAB, labelled
 
 RATE = 24.0  # frames a day
 
@@ -66,6 +67,9 @@ def features(spark, sf):
     return lab.join(text, "doc_id").select("doc_id", "source", "lang", "y", F.col("n_chars").cast("double").alias("n_chars"), "odd", "lines")
 
 
+FEATURES = ["n_chars", "odd", "lines"]
+
+
 @query("gbt_fit")
 def gbt_fit(spark, sf):
     """Weighted boosted trees and the scores of all labelled rows."""
@@ -82,6 +86,33 @@ def run_modes(spark, sf):
     return L.leave_one_out(rows, ["n_chars", "odd", "lines"], "lang", targets, 0.5, trees=3).select("doc_id", "lang", "y", "p", "model")
 
 
+@query("adapted_modes")
+def adapted_modes(spark, sf):
+    """Scores per language by a model that also learned from the language's rows of one declared source, the first by
+    name; those rows are kept apart and not scored."""
+    rows = features(spark, sf)
+    targets = sorted(r.lang for r in rows.select("lang").where("lang is not null").distinct().collect())
+    admitted = F.col("source") == F.lit(rows.agg(F.min("source")).first()[0])
+    return L.adapted(rows, FEATURES, "lang", targets, admitted, 0.5, trees=3).select("doc_id", "lang", "y", "p", "status", "model")
+
+
+@query("inner_cv")
+def inner_cv(spark, sf):
+    """Area under the curve of two tree depths over folds that no group of language and source is split by."""
+    rows = L.weighted(features(spark, sf).withColumn("group", F.concat_ws("|", "lang", "source")), "y", 0.5)
+    depths = [2, 4]
+    found = L.tuned(rows, FEATURES, "group", 2, depths).avgMetrics
+    return spark.createDataFrame([(d, float(m)) for d, m in zip(depths, found, strict=True)], "depth int, auc double")
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """What the error of the fitted trees gains when one feature at a time is permuted."""
+    rows = features(spark, sf)
+    model = L.boosted(FEATURES, trees=5).fit(L.weighted(rows, "y", 0.5))
+    return L.permutation_importance(model, rows, FEATURES, "y").withColumn("drop", F.round("drop", 9))
+
+
 @query("crossfit_calibrate")
 def crossfit_calibrate(spark, sf):
     rows = labelled(spark, sf).withColumn("y", F.col("y").cast("double"))
@@ -100,11 +131,19 @@ def recall_bounds(spark, sf):
     return counts.select("lang", "k", "n", bounds("k", "n").alias("b")).select("lang", "k", "n", "b.*")
 
 
-@query("chance_bounds")
+CHANCES = f"""WITH RECURSIVE {LAB}, g AS (SELECT lang, source, avg(p) AS p FROM lab GROUP BY 1, 2), o AS (SELECT lang, p, row_number() OVER (PARTITION BY lang ORDER BY p) AS i FROM g),
+t AS (SELECT lang, 0::BIGINT AS i, [1.0::DOUBLE] AS d FROM (SELECT DISTINCT lang FROM g)
+UNION ALL SELECT t.lang, o.i, list_transform(range(len(t.d) + 1), lambda k: coalesce(t.d[k + 1], 0) * (1 - o.p) + CASE WHEN k > 0 THEN t.d[k] * o.p ELSE 0 END) FROM t JOIN o ON o.lang = t.lang AND o.i = t.i + 1),
+z AS (SELECT lang, unnest(range(len(d)))::INTEGER AS hits, unnest(d) AS chance FROM t WHERE i = (SELECT max(i) FROM o WHERE o.lang = t.lang))
+SELECT lang, hits, round(chance, 9) AS chance FROM z"""
+
+
+@query("chance_bounds", CHANCES)
 def chance_bounds(spark, sf):
     """The distribution of hits where each group has its own chance."""
     ps = labelled(spark, sf).groupBy("lang", "source").agg(F.avg("p").alias("p")).groupBy("lang").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return ps.select("lang", F.posexplode(distributions.poisson_binomial(F.col("ps"))).alias("hits", "chance"))
+    found = ps.select("lang", F.posexplode(distributions.poisson_binomial(F.col("ps"))).alias("hits", "chance"))
+    return found.withColumn("chance", F.round("chance", 9))
 
 
 @query("scan_files")
@@ -121,6 +160,15 @@ def spike_train(spark, sf):
     return D.per_stretch(filled(spark, sf), ["signal"], "frame", "x", lambda x: D.spikes(x, 2.0, 3), chunk=240, halo=24)
 
 
+@query("line_tests")
+def line_tests(spark, sf):
+    """Stretches of 240 frames whose excursions keep a daily rhythm: tested one by one, rejected as a family per signal."""
+    train = spike_train(spark, sf).withColumn("part", F.expr("frame div 240"))
+    tests = D.lock_tests(train, ["signal"], "part", "frame", RATE, 2.0, 3)
+    judged = holm(tests.where("status = 'tested'"), ["signal"], "p", 0.05, ["part"]).withColumnRenamed("rejected", "distrusted")
+    return judged.unionByName(tests.where("status <> 'tested'").withColumn("distrusted", F.lit(False))).withColumn("p", F.round("p", 9))
+
+
 @query("template_trains")
 def template_trains(spark, sf):
     """Frames whose surroundings look like the mean peak of their stretch."""

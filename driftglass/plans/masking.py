@@ -50,21 +50,21 @@ def blank_hold(spark, sf):
 def mask_union(spark, sf):
     """A frame is invalid if it is for any signal of the consumer."""
     spans = built(spark, sf)
-    length = R.union_length(spans.where("start is not null").select("consumer", "start", "stop"), ["consumer"])
+    length = R.union_length(spans.where("start is not null").select("consumer", "start", "stop"), ["consumer"], block=R.BLOCK)
     return spans.select("consumer").distinct().join(length, "consumer", "left").select("consumer", F.coalesce("length", F.lit(0)).alias("n_invalid"))
 
 
 @query("mask_to_spans", f"WITH {MASKS}, i AS (SELECT *, frame - row_number() OVER (PARTITION BY consumer, signal ORDER BY frame) AS g FROM masks WHERE invalid), r AS (SELECT consumer, signal, min(frame) AS a, max(frame) + 1 AS b FROM i GROUP BY consumer, signal, g) SELECT consumer, signal, round_even(a * 12.5, 0)::BIGINT AS first_sample, round_even(b * 12.5, 0)::BIGINT AS last_sample FROM r")
 def mask_to_spans(spark, sf):
     """Invalid runs in samples of another rate, rounded half to even."""
-    spans = R.merge_intervals(built(spark, sf).where("start is not null").select("consumer", "signal", "start", "stop"), ["consumer", "signal"])
+    spans = R.merge_intervals(built(spark, sf).where("start is not null").select("consumer", "signal", "start", "stop"), ["consumer", "signal"], block=R.BLOCK)
     return spans.select("consumer", "signal", half_even(F.col("start") * 12.5).alias("first_sample"), half_even(F.col("stop") * 12.5).alias("last_sample"))
 
 
 @query("time_lost", f"WITH {MASKS}, w AS (SELECT frame, bool_or(invalid) FILTER (consumer = 'rate') AS a, bool_or(invalid) FILTER (consumer = 'slow') AS b FROM masks WHERE consumer IN ('rate', 'slow') GROUP BY 1) SELECT count(*) FILTER (a OR b) AS either, count(*) FILTER (a AND NOT b) AS only_rate, count(*) FILTER (b AND NOT a) AS only_slow, count(*) FILTER (a AND b) AS both_, round(count(*) FILTER (a OR b)::DOUBLE / count(*), 6) AS share FROM w")
 def time_lost(spark, sf):
     spans = built(spark, sf)
-    cover = lambda name: R.merge_intervals(spans.where((F.col("consumer") == name) & F.col("start").isNotNull()).select("start", "stop"), [])
+    cover = lambda name: R.merge_intervals(spans.where((F.col("consumer") == name) & F.col("start").isNotNull()).select("start", "stop"), [], block=R.BLOCK)
     a, b = cover("rate"), cover("slow")
     total = lambda df: df.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).scalar()
     both = overlap_join(a, b.select(F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), [], 64)

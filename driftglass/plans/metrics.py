@@ -101,7 +101,9 @@ def missing_rates(spark, sf):
 @query("alias_table", "WITH s AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS token, p_name FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY p_name) AS i, count(*) OVER (PARTITION BY token) AS n FROM s) SELECT token, any_value(n) AS n, string_agg(p_name, ';' ORDER BY p_name) AS examples FROM r WHERE i <= 3 GROUP BY 1")
 def alias_table(spark, sf):
     names = table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("token"), "p_name").distinct()
-    return names.groupBy("token").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 3), ";").alias("examples"))
+    first = names.withColumn("i", F.row_number().over(Window.partitionBy("token").orderBy("p_name"))).where("i <= 3")
+    examples = first.groupBy("token").agg(F.array_join(F.sort_array(F.collect_list("p_name")), ";").alias("examples"))
+    return names.groupBy("token").agg(F.count("*").alias("n")).join(examples, "token")
 
 
 @query("audit_summary", "WITH d AS (SELECT l_returnflag AS g, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT g, count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 FROM d GROUP BY 1")

@@ -213,7 +213,14 @@ def pair_max(spark, sf):
     return rounded(r.groupBy("c_nationkey").agg((F.sum((F.col("i") - 1) * F.col("x")) / pairs).alias("pair_max"), (F.sum((F.col("n") - F.col("i")) * F.col("x")) / pairs).alias("pair_min")), "pair_max", "pair_min")
 
 
-@query("condition_plan")
+PLAN = """WITH RECURSIVE r AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+t AS (SELECT source, 0::BIGINT AS i, NULL::BIGINT AS "at", NULL::VARCHAR AS chosen, MAP {'any': 0::BIGINT} AS uses FROM (SELECT DISTINCT source FROM documents)
+UNION ALL SELECT source, i, "at", c, map_concat(uses, MAP {c: coalesce(uses[c], 0) + 1}) FROM (
+SELECT t.source, r.i, r.doc_id AS "at", t.uses, CASE WHEN coalesce(t.uses[r.lang], 0) <= t.uses['any'] THEN r.lang ELSE 'any' END AS c FROM t JOIN r ON r.source = t.source AND r.i = t.i + 1))
+SELECT source, "at", chosen FROM t WHERE i > 0"""
+
+
+@query("condition_plan", PLAN)
 def condition_plan(spark, sf):
     """Rows in order take the condition used least so far, the first of equals, per group."""
     rows = table(spark, sf, "documents").select("source", F.col("doc_id").alias("at"), F.array("lang", F.lit("any")).alias("allowed"))

@@ -85,3 +85,16 @@ def test_detectors():
     kept, lost, added = detectors.harm(clean, np.zeros(5), np.array([10, 50]), 0.5, 5, 1)
     assert kept > 10 and (lost, added) == (0, 0)
     assert detectors.harm(clean, np.hanning(9) * 9, np.arange(0, 390, 40), 0.5, 5, 1)[2] > 0
+
+
+def test_lock_tests_give_the_binomial_tail(spark):
+    from driftglass.operators import detectors
+
+    rows = [("locked", 0, t) for t in (0, 24, 48, 71, 96, 119)] + [("free", 0, t) for t in (0, 11, 30, 44, 55, 91)] + [("few", 0, t) for t in (0, 24)] + [("near", 0, t) for t in (0, 1, 2, 3)]
+    events = spark.createDataFrame(rows, "k string, part long, t long")
+    got = {r.k: r for r in detectors.lock_tests(events, ["k"], "part", "t", 24.0, 2.0, 3).collect()}
+    tail = lambda k, n, p: sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
+    for name, n, k in (("locked", 5, 5), ("free", 5, 0), ("near", 3, 0)):
+        assert (got[name].m_intervals, got[name].k_locked, got[name].status) == (n, k, "tested")
+        assert got[name].p == pytest.approx(tail(k, n, 4 / 24))
+    assert (got["few"].status, got["few"].p) == ("untested_few_spikes", None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftglass.operators import estimation, evaluation, joins, ranking, rules, versions
 from driftglass.operators import runs as R
 from driftglass.operators.candidates import Settings, candidates
-from driftglass.operators.matching import match_trains
+from driftglass.operators.matching import greedy_train_match, match_trains
 
 
 def rows_of(df):
@@ -121,3 +121,51 @@ def test_isotonic_pools_violators(spark):
     bins = spark.createDataFrame([(0, 0.2, 1.0), (1, 0.6, 1.0), (2, 0.4, 1.0), (3, 0.3, 2.0), (4, 0.9, 1.0)], "b int, m double, w double")
     got = {r.b: round(r.fit, 6) for r in estimation.isotonic(bins, "b", "m", "w").collect()}
     assert got == {0: 0.2, 1: 0.4, 2: 0.4, 3: 0.4, 4: 0.9}
+
+
+def test_trains_cut_at_gaps_match_as_wholes(spark):
+    rng = random.Random(5)
+    trains = {k: ([rng.randrange(0, 400) / 2 for _ in range(rng.randrange(0, 40))], [rng.randrange(0, 400) / 2 for _ in range(rng.randrange(1, 40))]) for k in "abcdef"}
+    side = lambda i: spark.createDataFrame([(k, t) for k, pair in trains.items() for t in pair[i]], "k string, t double")
+    for within in (0.5, 2.0, 7.0):
+        got = {r.k: (r.matched, r.lost, r.added, r["shift"]) for r in greedy_train_match(side(0), side(1), ["k"], within).collect()}
+        assert got == {k: match_trains(np.array(a), np.array(b), within) for k, (a, b) in trains.items()}
+
+
+def test_balance_takes_the_least_used(spark):
+    rng = random.Random(9)
+    data = [(k, i, sorted(rng.sample("wxyz", rng.randrange(0, 4)))) for k in "ab" for i in range(300)]
+    want, uses = {}, {}
+    for k, i, options in data:
+        pick = min(options, key=lambda o: (uses.get((k, o), 0), options.index(o))) if options else None
+        uses[k, pick] = uses.get((k, pick), 0) + 1
+        want[k, i] = pick
+    rng.shuffle(data)
+    rows = spark.createDataFrame(data, "k string, i long, allowed array<string>").repartition(5)
+    assert {(r.k, r.i): r.chosen for r in ranking.balance(rows, ["k"], "i", "allowed").collect()} == want
+
+
+def test_folds_cut_into_bursts_are_the_same(spark):
+    rng = random.Random(3)
+    data = [(k, rng.randrange(0, 300), rng.random()) for k in "abc" for _ in range(80)]
+    rows = spark.createDataFrame(data, "k string, t long, s double")
+    first, best = [], []
+    for k in "abc":
+        kept, strong = [], []
+        for _, t, s in sorted(r for r in data if r[0] == k):
+            if not kept or t - kept[-1] >= 6:
+                kept.append(t)
+            if not strong or t - strong[-1][0] >= 6:
+                strong.append((t, s))
+            elif s > strong[-1][1]:
+                strong[-1] = (t, s)
+        first += [(k, t) for t in kept]
+        best += [(k, t, s) for t, s in strong]
+    assert rows_of(ranking.refractory(rows, ["k"], "t", 6)) == sorted(first)
+    assert rows_of(ranking.suppress(rows, ["k"], "t", "s", 6)) == sorted(best)
+
+
+def test_multiset_digest_ignores_order_only(spark):
+    digest = lambda values: spark.createDataFrame([(v,) for v in values], "v string").agg(versions.multiset_digest(F.sha2(F.col("v").cast("binary"), 256))).first()[0]
+    assert digest(["a", "b", "b"]) == digest(["b", "a", "b"]) != digest(["a", "a", "b"])
+    assert digest(["a", None]) == digest(["a"]) != digest(["a", "a"])
