@@ -25,7 +25,7 @@ def cleaners(spark, sf):
     return out.withColumn("x", F.round("x", 6))
 
 
-SPANS = f"{SCORED}, flagged AS (SELECT signal, frame, frame - row_number() OVER (PARTITION BY signal ORDER BY frame) AS g FROM scored WHERE z >= 2.5), spans AS (SELECT signal, min(frame) AS start, max(frame) + 1 AS stop FROM flagged GROUP BY signal, g)"
+SPANS = f"{SCORED}, flagged AS (SELECT signal, frame, frame - row_number() OVER (PARTITION BY signal ORDER BY frame) AS g FROM scored WHERE abs(z) >= 1.5), spans AS (SELECT signal, min(frame) AS start, max(frame) + 1 AS stop FROM flagged GROUP BY signal, g)"
 LOCAL = "near AS (SELECT s.signal, start, stop, frame, x, CASE WHEN frame < start OR frame >= stop THEN x END AS y FROM spans s JOIN scored f ON f.signal = s.signal AND frame >= start - 8 AND frame < stop + 8), w AS (SELECT *, lag(x) OVER e AS xa, lead(x) OVER e AS xb, lag(y) OVER e AS ya, lead(y) OVER e AS yb FROM near WINDOW e AS (PARTITION BY signal, start, stop ORDER BY frame)), beats AS (SELECT signal, start, stop, frame, frame >= start AND frame < stop AS inside, coalesce(x > coalesce(xa, x - 1) AND x > coalesce(xb, x - 1), false) AS a, coalesce(y > coalesce(ya, y - 1) AND y > coalesce(yb, y - 1), false) AS b FROM w)"
 DAMAGE = f"WITH {SPANS}, {LOCAL}, d AS (SELECT signal, start, stop, count(*) FILTER (a AND NOT b AND NOT inside) AS lost, count(*) FILTER (b AND NOT a AND NOT inside) AS added, count(*) FILTER (a AND inside) AS n_inside FROM beats GROUP BY 1, 2, 3)"
 
@@ -39,13 +39,13 @@ def local_maxima(series, keys):
 
 def damage(spark, sf):
     z = scored(spark, sf)
-    spans = true_runs(z.where("z >= 2.5").select("signal", "frame"), ["signal"], "frame")
+    spans = true_runs(z.where("abs(z) >= 1.5").select("signal", "frame"), ["signal"], "frame")
     return L.operational_damage(z.select("signal", F.col("frame").alias("at"), "x"), spans, ["signal"], local_maxima, 8, 0.5, 0.0)
 
 
 @query("operational_damage", f"{DAMAGE} SELECT signal, start, stop, lost, added, n_inside, lost > 0 OR added > 0 OR n_inside > 0 AS changed FROM d")
 def operational_damage(spark, sf):
-    """Whether the train of local maxima changes where high frames are suppressed."""
+    """Whether the train of local maxima changes where frames far from the middle are suppressed."""
     return damage(spark, sf).drop("shift")
 
 
@@ -81,7 +81,7 @@ def score_stored_round(spark, sf):
 
 @query(
     "side_channels",
-    f"WITH {FRAMES}, d AS (SELECT 'orders' AS channel, epoch_us(o_orderdate) // 86400000000 AS i, avg(o_totalprice) AS x, 1.0::DOUBLE / 86400 AS fs FROM orders GROUP BY 2), e AS (SELECT event_type AS channel, epoch_us(ts) // (CASE event_type WHEN 'click' THEN 3600000000 ELSE 21600000000 END) AS i, avg(value) AS x, 1.0::DOUBLE / any_value(CASE event_type WHEN 'click' THEN 3600 ELSE 21600 END) AS fs FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2), u AS (SELECT * FROM d UNION ALL SELECT * FROM e) SELECT channel, i, round(x, 4) AS x, round(fs, 9) AS fs, round(i / fs, 3) AS t FROM u",
+    f"WITH {FRAMES}, d AS (SELECT 'orders' AS channel, epoch_us(o_orderdate) // 86400000000 AS i, avg(o_totalprice) AS x, 1.0::DOUBLE / 86400 AS fs FROM orders GROUP BY 2), e AS (SELECT event_type AS channel, epoch_us(ts) // (CASE event_type WHEN 'click' THEN 3600000000 ELSE 21600000000 END) AS i, avg(value) AS x, 1.0::DOUBLE / any_value(CASE event_type WHEN 'click' THEN 3600 ELSE 21600 END) AS fs FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2), u AS (SELECT * FROM d UNION ALL SELECT * FROM e) SELECT channel, i, round(x, 6) AS x, round(fs, 9) AS fs, round(i / fs, 3) AS t FROM u",
 )
 def side_channels(spark, sf):
     """Channels of different rates in one table, each row with its own rate; never resampled."""
@@ -93,7 +93,7 @@ def side_channels(spark, sf):
     e = events(spark, sf)
     o = table(spark, sf, "orders").withColumn("us", F.expr("unix_micros(cast(o_orderdate as timestamp))"))
     parts = channel(o, "orders", 86_400, "o_totalprice").unionByName(channel(e.where("event_type = 'click'"), "click", 3600, "value")).unionByName(channel(e.where("event_type = 'purchase'"), "purchase", 21_600, "value"))
-    return parts.select("channel", "i", F.round("x", 4).alias("x"), F.round("fs", 9).alias("fs"), F.round(F.col("i") / F.col("fs"), 3).alias("t"))
+    return parts.select("channel", "i", F.round("x", 6).alias("x"), F.round("fs", 9).alias("fs"), F.round(F.col("i") / F.col("fs"), 3).alias("t"))
 
 
 @query(
