@@ -31,10 +31,12 @@ def table_use(stand_in: Column, exact: Column, gated: Column, flagged: Column, r
 
 
 def optional(document: Column, field: str, kind: str) -> tuple[Column, Column]:
-    """(value, state) of a field of a JSON text: absent is null, and what cannot be read is null and ``malformed``."""
+    """(value, state) of a field of a JSON text: absent is null, and what cannot be read, the text or the field, is
+    null and ``malformed``."""
     raw = F.get_json_object(document, f"$.{field}")
     value = raw.try_cast(kind)
-    return value, F.when(raw.isNull(), "absent").when(value.isNull(), "malformed").otherwise("read")
+    broken = document.isNotNull() & F.get_json_object(document, "$").isNull()
+    return value, F.when(broken, "malformed").when(raw.isNull(), "absent").when(value.isNull(), "malformed").otherwise("read")
 
 
 def lookup(keys: list[Column], table: dict[tuple[str, ...], str]) -> Column:
