@@ -129,10 +129,13 @@ def near_pairs(fps: DataFrame, stage: Stage, max_distance: int = 4, segments: in
     )
     if not some:
         return pairs
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    mine, all_ = F.pmod(F.xxhash64("fp"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    kept = index.join(crowded, "key").select("key", mine.alias("i"), all_.alias("j"), "fp", F.lit(False).alias("asks"))
-    ask = asked.join(crowded, "key").select("key", all_.alias("i"), mine.alias("j"), "fp", F.lit(True).alias("asks"))
+    # both sides of a tile are cut by their own counts: those who ask may be many more than those who hold
+    asking = stage.save(asked.join(crowded, "key", "left_semi").groupBy("key").agg(F.count("*").alias("m")), "asking")
+    sizes = crowded.join(asking, "key")
+    block = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    mine, every = lambda n: F.pmod(F.xxhash64("fp"), block(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), block(n) - 1))
+    kept = index.join(sizes, "key").select("key", mine("n").alias("i"), every("m").alias("j"), "fp", F.lit(False).alias("asks"))
+    ask = asked.join(sizes, "key").select("key", every("n").alias("i"), mine("m").alias("j"), "fp", F.lit(True).alias("asks"))
     tiles = kept.union(ask).groupBy("key", "i", "j").applyInArrow(_tile(max_distance), "a long, b long")
     return pairs.union(tiles)
 

@@ -84,6 +84,27 @@ def test_dense_parts_are_tiled(spark):
         assert groups(find) == groups(want.get)
 
 
+def test_tiles_are_bounded_on_both_sides(spark, monkeypatch):
+    """Few hold a part and many ask for it: no tile sees many of either."""
+
+    def sizes(_):
+        import pyarrow as pa
+
+        def of(rows):
+            asks = rows["asks"].to_pylist()
+            return pa.table({"a": [sum(asks)], "b": [len(asks) - sum(asks)]})
+
+        return of
+
+    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "_tile", sizes)
+    # 20 share a part of 32 bits; 700 others have it but for one bit, each another part beside it
+    values = [i << 32 for i in range(1, 21)] + [((1000 + i) << 32) | 1 << (i % 32) for i in range(700)]
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    plain = simhash.near_pairs(fps, Stage(spark, "test"), 2, 2, 10).where("a < 1000 and b < 1000").collect()
+    assert sum(r.a for r in plain) >= 700 and max(r.a for r in plain) <= 64 and max(r.b for r in plain) <= 64
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
