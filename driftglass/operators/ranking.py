@@ -1,54 +1,29 @@
-"""Selections that depend on order: refractory times, suppression, step-down tests and balancing.
-
-Folds run inside the JVM over arrays of bursts: a key's rows are cut wherever a gap lets nothing reach across.
-"""
+"""Selections that depend on order: refractory times, suppression, step-down tests and balancing."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftglass.functions.robust import ratio
 
-
-def _ordered(rows: DataFrame, keys: list[str], *columns: Column | str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
-
-
-def bursts(rows: DataFrame, keys: list[str], at: str, apart: Callable[[Column], Column]) -> DataFrame:
-    """Adds ``_burst``, a number that grows wherever the distance from the row before is ``apart``."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    cut = rows.withColumn("_new", F.coalesce(apart(F.col(at) - F.lag(at).over(w)), F.lit(False)).cast("int"))
-    return cut.withColumn("_burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+from .folds import thin
 
 
 def refractory(rows: DataFrame, keys: list[str], at: str, least: float) -> DataFrame:
     """Keeps the first row and each later one at least ``least`` after the last kept."""
-    empty = F.array().cast(f"array<{dict(rows.dtypes)[at]}>")
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x[at] - F.element_at(kept, -1) >= least), F.concat(kept, F.array(x[at]))).otherwise(kept)
-    cut = bursts(rows.select(*keys, at), keys, at, lambda gap: gap >= least)
-    return _ordered(cut, [*keys, "_burst"], at).select(*keys, F.explode(F.aggregate("_rows", empty, step)).alias(at))
+    return thin(rows, keys, at, least)
 
 
 def suppress(rows: DataFrame, keys: list[str], at: str, strength: str, least: float) -> DataFrame:
     """Non-maximum suppression in order of ``at``: a row closer than ``least`` to the last kept one replaces it if it is
     stronger, and goes otherwise."""
-    kinds = dict(rows.dtypes)
-    empty = F.array().cast(f"array<struct<{at}: {kinds[at]}, {strength}: {kinds[strength]}>>")
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        head = F.slice(kept, 1, F.size(kept) - 1)
-        near = x[at] - last[at] < least
-        return F.when((F.size(kept) == 0) | ~near, F.concat(kept, F.array(x))).when(x[strength] > last[strength], F.concat(head, F.array(x))).otherwise(kept)
-
-    cut = bursts(rows.select(*keys, at, strength), keys, at, lambda gap: gap >= least)
-    return _ordered(cut, [*keys, "_burst"], at, strength).select(*keys, F.inline(F.aggregate("_rows", empty, step)))
+    return thin(rows, keys, at, least, strength)
 
 
 def holm(tests: DataFrame, family: list[str], p: str, alpha: float, ties: list[str]) -> DataFrame:

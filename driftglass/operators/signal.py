@@ -67,19 +67,33 @@ def butterworth(order: int, low: float | None, high: float | None, rate: float)
     return np.array(out)
 
 
+#: Samples that a filter's recursion advances at once.
+_STEP = 64
+
+
 def _run_sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Second-order sections in a row, each started at rest on the first value's level. A block's outputs are linear in
+    its inputs and in the two values of state before it, so only the states go from block to block."""
     for b0, b1, b2, _, a1, a2 in sos:
-        y, s1, s2 = np.empty_like(x), 0.0, 0.0
-        # direct form II transposed, started at rest on the first value's level
-        first = x[0]
+        n, first = len(x), x[0]
         level = first * (b0 + b1 + b2) / (1 + a1 + a2) if abs(1 + a1 + a2) > 1e-12 else 0.0
-        s1, s2 = level - b0 * first, 0.0
-        s2 = b2 * first - a2 * level
-        for i, v in enumerate(x):
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            y[i] = o
-        x = y
+        # direct form II transposed: y = b0 v + s1, s1' = b1 v - a1 y + s2, s2' = b2 v - a2 y
+        ahead, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = np.empty((_STEP + 1, 2, 2))
+        powers[0] = np.eye(2)
+        for k in range(_STEP):
+            powers[k + 1] = ahead @ powers[k]
+        impulse = np.concatenate(([b0], (powers[: _STEP - 1] @ feed)[:, 0]))
+        lag = np.arange(_STEP)[:, None] - np.arange(_STEP)[None, :]
+        inside = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+        gather = powers[_STEP - 1 :: -1] @ feed  # what each input of a block leaves in the state after it
+        blocks = np.pad(x, (0, -n % _STEP)).reshape(-1, _STEP)
+        pushed, state = blocks @ gather, np.empty((len(blocks), 2))
+        now, jump = np.array([level - b0 * first, b2 * first - a2 * level]), powers[_STEP]
+        for k in range(len(blocks)):
+            state[k] = now
+            now = jump @ now + pushed[k]
+        x = (blocks @ inside.T + state @ powers[:_STEP, 0, :].T).ravel()[:n]
     return x
 
 
@@ -112,22 +126,70 @@ def settling(sos: np.ndarray, rate: float, share: float = 0.01, most_s: float =
     return float((np.flatnonzero(y >= share * y.max())[-1] + 1) / rate)
 
 
+def tops_of(x: np.ndarray) -> np.ndarray:
+    """Indices of samples above the one before and not below the one after."""
+    return np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
+
+
+def prominences(x: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """How far each top stands out: to the higher of the two lowest values between it and the next higher value (or the
+    end) on either side. One pass each way over the tops and the lows between them, with a stack of higher ones."""
+    if not len(tops):
+        return np.zeros(0)
+
+    def lowest(x: np.ndarray, tops: np.ndarray) -> np.ndarray:
+        """The lowest value between each top and the next higher value to its left."""
+        at = np.concatenate(([0], tops))
+        lows, heights = np.minimum.reduceat(x, at)[: len(at) - 1].tolist(), x[at].tolist()
+        stack, out = [(heights[0], np.inf)], []
+        for k, height in enumerate(heights[1:]):
+            low = lows[k]
+            while stack and stack[-1][0] <= height:
+                low = min(low, stack.pop()[1])
+            out.append(min(low, height))
+            stack.append((height, low))
+        return np.array(out)
+
+    left, right = lowest(x, tops), lowest(x[::-1], len(x) - 1 - tops[::-1])[::-1]
+    return x[tops] - np.maximum(left, right)
+
+
+def half_widths(x: np.ndarray, tops: np.ndarray, prominence: np.ndarray) -> np.ndarray:
+    """Samples between the places, interpolated, where each top falls to half its prominence."""
+    out = []
+    for p, height in zip(tops.tolist(), (x[tops] - prominence / 2).tolist(), strict=True):
+        i = p
+        while i > 0 and x[i] > height:
+            i -= 1
+        left = i + (height - x[i]) / (x[i + 1] - x[i]) if x[i] < height else i
+        i = p
+        while i < len(x) - 1 and x[i] > height:
+            i += 1
+        right = i - (height - x[i]) / (x[i - 1] - x[i]) if x[i] < height else i
+        out.append(right - left)
+    return np.array(out, float)
+
+
+def spaced(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of some places, in order, stay: the highest first, each taking out those closer than ``distance``."""
+    stays, done = np.ones(len(at), bool), np.zeros(len(at), bool)
+    for k in np.lexsort((at, -height)).tolist():
+        if not stays[k]:
+            continue
+        done[k] = True
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(at) and abs(at[j] - at[k]) < distance:
+                stays[j] &= done[j]
+                j += step
+    return stays
+
+
 def peaks(x: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     """Indices of local maxima with at least this prominence, the highest first where two are closer than ``distance``."""
-    top = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
-    keep = []
-    for p in top:
-        left = x[:p][::-1]
-        right = x[p + 1 :]
-        a = left[: np.argmax(left > x[p])] if (left > x[p]).any() else left
-        b = right[: np.argmax(right > x[p])] if (right > x[p]).any() else right
-        if x[p] - max(a.min(initial=x[p]), b.min(initial=x[p])) >= prominence:
-            keep.append(p)
-    kept: list[int] = []
-    for p in sorted(keep, key=lambda i: (-x[i], i)):
-        if all(abs(p - q) >= distance for q in kept):
-            kept.append(p)
-    return np.array(sorted(kept), int)
+    tops = tops_of(x)
+    tops = tops[prominences(x, tops) >= prominence]
+    return tops[spaced(tops, x[tops], distance)]
 
 
 def find_peaks(samples: DataFrame, keys: list[str], at: str, value: str, prominence_sigmas: float, distance: int, chunk: int = 1 << 16, halo: int = 1 << 10) -> DataFrame:
