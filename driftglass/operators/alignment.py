@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftglass.sources.shared import shared_folder, staged
+
 from .signal import chunked
 
 
@@ -80,8 +82,9 @@ def aligned_regressor(samples: DataFrame, beats: DataFrame, keys: list[str], at:
     """
     if halo < 2 * (half + most + 2):
         raise ValueError("the halo is shorter than a beat's surroundings")
+    root = shared_folder(samples.sparkSession, "aligned")
     rows = samples.select(*keys, F.col(at).cast("long").alias("at"), F.col(value).cast("double").alias("x"))
-    marks = beats.select(*keys, F.col(at).cast("long").alias("at"), F.coalesce("fit", F.lit(False)).alias("fit"))
+    marks = staged(beats.select(*keys, F.col(at).cast("long").alias("at"), F.coalesce("fit", F.lit(False)).alias("fit")), root, "beats")
     first = _mean_shape(rows, marks.withColumn("lag", F.lit(0.0)), keys, half, chunk, halo)
 
     def lags(at: np.ndarray, x: np.ndarray, rows: pa.Table, near: pa.Table) -> dict:
@@ -93,7 +96,7 @@ def aligned_regressor(samples: DataFrame, beats: DataFrame, keys: list[str], at:
                 found[i] = lag_of(w, shape, most)
         return {"at": own["at"].combine_chunks() if len(own) else pa.array([], pa.int64()), "fit": own["fit"].combine_chunks() if len(own) else pa.array([], pa.bool_()), "lag": pa.array(found, pa.float64())}
 
-    moved = per_chunk_points(rows, marks.join(first, keys, "left"), keys, lags, "at long, fit boolean, lag double", chunk, halo)
+    moved = staged(per_chunk_points(rows, marks.join(first, keys, "left"), keys, lags, "at long, fit boolean, lag double", chunk, halo), root, "lags")
     second = _mean_shape(rows, moved, keys, half, chunk, halo)
 
     def lay(at: np.ndarray, x: np.ndarray, rows: pa.Table, near: pa.Table) -> dict:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftglass.sources.shared import shared_folder, staged
+
 from .folds import thin
 from .signal import chunked, finite_runs, half_widths, prominences, spaced, tops_of
 
@@ -229,9 +231,10 @@ def trains(samples: DataFrame, keys: list[str], at: str, value: str, search: Sea
     """Beats ``(keys, at, tag)``, ``detected`` or ``rescued``, and gaps ``(keys, start, stop, missing)``: intervals in
     which expected beats were not found. With ``kind`` and ``floor`` a rescued beat must look like one of several shapes
     as much as all but that share of the detected beats do."""
-    rows = with_sigma(samples.select(*keys, F.col(at).cast("long").alias("at"), F.col(value).cast("double").alias("x")), keys, "x")
-    beats = first_pass(rows, keys, search)
-    looked = rescue(rows, beats, keys, search, shapes(rows, beats, keys, search, kind, floor))
+    root = shared_folder(samples.sparkSession, "beats")
+    rows = staged(with_sigma(samples.select(*keys, F.col(at).cast("long").alias("at"), F.col(value).cast("double").alias("x")), keys, "x"), root, "samples")
+    beats = staged(first_pass(rows, keys, search), root, "first")
+    looked = staged(rescue(rows, beats, keys, search, shapes(rows, beats, keys, search, kind, floor)), root, "looked")
     both = beats.select(*keys, "at", F.lit("detected").alias("tag")).unionByName(looked.where("found is not null").select(*keys, F.col("found").alias("at"), F.lit("rescued").alias("tag")))
     gaps = looked.where("found is null").groupBy(*keys, F.col("at").alias("start"), "stop").agg(F.count("*").alias("missing"))
     return both.groupBy(*keys, "at").agg(F.min("tag").alias("tag")), gaps

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftglass.functions.distributions import one_sided_lower
-from driftglass.sources.shared import shared_folder
+from driftglass.sources.shared import shared_folder, staged
 
 from .signal import chunked
 
@@ -108,14 +108,10 @@ def sequential_harm(samples: DataFrame, keys: list[str], at: str, value: str, de
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "hits long"])
-    root, spark = shared_folder(samples.sparkSession, "harm"), samples.sparkSession
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
+    root = shared_folder(samples.sparkSession, "harm")
 
     zero = channels.select(*keys, F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("rounds"), F.lit(False).alias("settled"))
-    state, round_ = saved(zero, "round-0"), 0
+    state, round_ = staged(zero, root, "round-0"), 0
     named = lambda df: df.select(*(F.col(k).alias(k) for k in keys))
     is_open = lambda df: df.where(~F.col("settled") & (F.col("n") < trial.most))
     while not is_open(state).isEmpty():
@@ -127,6 +123,6 @@ def sequential_harm(samples: DataFrame, keys: list[str], at: str, value: str, de
         now = todo.join(counts, keys, "left").withColumns({"hits": F.col("hits") + F.coalesce("_hits", F.lit(0)), "n": F.col("n") + trial.block, "rounds": F.col("rounds") + 1})
         judged = now.withColumn("settled", _settled(F.col("hits"), F.col("n"), trial)).select(*state.columns)
         round_ += 1
-        state = saved(judged.unionByName(state.where(F.col("settled") | (F.col("n") >= trial.most))), f"round-{round_}")
+        state = staged(judged.unionByName(state.where(F.col("settled") | (F.col("n") >= trial.most))), root, f"round-{round_}")
     share = F.col("hits") / F.col("n")
     return state.select(*keys, "hits", "n", "rounds", share.alias("share"), "settled", (share <= trial.threshold).alias("passes"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftglass.sources.shared import shared_folder
+from driftglass.sources.shared import shared_folder, staged
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], bins: int = 1024) -> DataFrame:
@@ -21,20 +21,16 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     names = [f"_key_{k}" for k in keys]
     x = F.col(value).cast("double")
     plain = rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), x.alias("v"))
-    spark, root = rows.sparkSession, shared_folder(rows.sparkSession, "quantiles")
-
-    def saved(df: DataFrame, k: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/round-{k}")
-        return spark.read.parquet(f"{root}/round-{k}")
+    root = shared_folder(rows.sparkSession, "quantiles")
 
     place = (F.col("n") - 1) * F.col("share")
     each = plain.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     wanted = each.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
-    state = saved(wanted.withColumn("below", F.lit(0).cast("long")), 0)
+    state = staged(wanted.withColumn("below", F.lit(0).cast("long")), root, "round-0")
     k = 0
     while not state.where("lo < hi").isEmpty():
         k += 1
-        state = saved(_narrowed(plain, state, names, bins), k)
+        state = staged(_narrowed(plain, state, names, bins), root, f"round-{k}")
     # at one or two ranks for each group and share
     w = F.col("n"), (F.col("n") - 1) * F.col("share")
     low = F.min(F.struct("rank", "lo"))

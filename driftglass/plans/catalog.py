@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftglass.operators.candidates import Settings, candidates
 
-from . import detection, estimation, kernels, masking, matching, metrics, pluggable, records, series  # noqa: F401  (they register their queries)
+from . import detection, estimation, kernels, masking, matching, metrics, pluggable, records, series, trains  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES, scored
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -72,10 +72,14 @@ FEATURES = ["n_chars", "odd", "lines"]
 
 @query("gbt_fit")
 def gbt_fit(spark, sf):
-    """Weighted boosted trees and the scores of all labelled rows."""
-    rows = features(spark, sf)
-    model = L.boosted(["n_chars", "odd", "lines"], trees=5).fit(L.weighted(rows, "y", 0.5))
-    return L.scores(model, rows).select("doc_id", "y", F.round("p", 6).alias("p"))
+    """Weighted boosted trees, fitted twice: each half of the documents, by a hash of the id, is scored by the model of the
+    other."""
+    rows = features(spark, sf).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    out = []
+    for half in (0, 1):
+        model = L.boosted(FEATURES, trees=5).fit(L.weighted(rows.where(F.col("half") != half), "y", 0.5))
+        out.append(L.scores(model, rows.where(F.col("half") == half)).select("doc_id", "y", F.round("p", 6).alias("p"), "half"))
+    return out[0].unionByName(out[1])
 
 
 @query("run_modes")
@@ -113,13 +117,28 @@ def feature_importance(spark, sf):
     return L.permutation_importance(model, rows, FEATURES, "y").withColumn("drop", F.round("drop", 9))
 
 
-@query("crossfit_calibrate")
+CALIBRATED = f"""WITH {LAB}, b AS (SELECT doc_id, p, y, source, least(floor(p * 20), 19) AS bin FROM lab), c AS (SELECT doc_id, p, round((sum(y) OVER (PARTITION BY bin) - sum(y) OVER (PARTITION BY source, bin))::DOUBLE / nullif(count(*) OVER (PARTITION BY bin) - count(*) OVER (PARTITION BY source, bin), 0), 6) AS crossfit FROM b),
+v AS (SELECT p, count(*) AS w, sum(y)::DOUBLE AS s, row_number() OVER (ORDER BY p) AS i FROM b GROUP BY p), u AS (SELECT p, i, sum(w) OVER (ORDER BY i) AS cw, sum(s) OVER (ORDER BY i) AS cs, w, s FROM v),
+m AS (SELECT x.i AS a, z.i AS b, (z.cs - x.cs + x.s) / (z.cw - x.cw + x.w) AS mean FROM u x JOIN u z ON z.i >= x.i),
+low AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m), fit AS (SELECT b AS i, max(least) OVER (PARTITION BY b ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fit FROM low QUALIFY a = b)
+SELECT c.doc_id, c.p, crossfit, round(greatest(0, least(1, fit)), 6) AS calibrated FROM c JOIN v ON v.p = c.p JOIN fit ON fit.i = v.i"""
+
+
+@query("crossfit_calibrate", CALIBRATED)
 def crossfit_calibrate(spark, sf):
     rows = labelled(spark, sf).withColumn("y", F.col("y").cast("double"))
-    return L.isotonic_calibrated(L.crossfit(rows, "p", "y", "source"), "p", "y").select("doc_id", "p", "crossfit", "calibrated")
+    found = L.isotonic_calibrated(L.crossfit(rows, "p", "y", "source"), "p", "y")
+    return found.select("doc_id", "p", F.round("crossfit", 6).alias("crossfit"), F.round("calibrated", 6).alias("calibrated"))
+
 
+BOUNDS = f"""WITH RECURSIVE {LAB}, c AS (SELECT lang, count(*) FILTER (p >= 0.25) AS k, count(*) AS n FROM lab WHERE y = 1 GROUP BY 1),
+t AS (SELECT lang, k, n, kind, CASE kind WHEN 'hi' THEN k + 1 ELSE k END AS first_, CASE kind WHEN 'lo' THEN 0.025 WHEN 'hi' THEN 0.975 ELSE 0.05 END AS goal FROM c, (VALUES ('lo'), ('hi'), ('lower')) AS v(kind)),
+r AS (SELECT *, 0 AS step, 0.0::DOUBLE AS a, 1.0::DOUBLE AS z FROM t UNION ALL SELECT lang, k, n, kind, first_, goal, step + 1, CASE WHEN tail < goal THEN mid ELSE a END, CASE WHEN tail < goal THEN z ELSE mid END FROM (SELECT *, (a + z) / 2 AS mid, list_sum(list_transform(range(first_, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a + z) / 2) + (n - i) * ln(1 - (a + z) / 2)))) AS tail FROM r WHERE step < 40)),
+e AS (SELECT lang, k, n, kind, CASE WHEN kind <> 'hi' AND k = 0 THEN 0.0 WHEN kind = 'hi' AND k = n THEN 1.0 ELSE (a + z) / 2 END AS v FROM r WHERE step = 40)
+SELECT lang, k, n, round(max(v) FILTER (kind = 'lo'), 6) AS lo, round(max(v) FILTER (kind = 'hi'), 6) AS hi, round(max(v) FILTER (kind = 'lower'), 6) AS lower FROM e GROUP BY 1, 2, 3"""
 
-@query("recall_bounds")
+
+@query("recall_bounds", BOUNDS)
 def recall_bounds(spark, sf):
     """Exact bounds of the recall per language: counts are aggregated, the bounds are a small function of them."""
     counts = labelled(spark, sf).where("y = 1").groupBy("lang").agg(F.count_if(F.col("p") >= 0.25).alias("k"), F.count("*").alias("n"))
@@ -128,7 +147,7 @@ def recall_bounds(spark, sf):
     def bounds(k: pa.Array, n: pa.Array) -> pa.Array:
         return pa.array([{**dict(zip(("lo", "hi"), distributions.clopper_pearson(a, b), strict=True)), "lower": distributions.one_sided_lower(a, b)} for a, b in zip(k.to_pylist(), n.to_pylist(), strict=True)], pa.struct([(c, pa.float64()) for c in ("lo", "hi", "lower")]))
 
-    return counts.select("lang", "k", "n", bounds("k", "n").alias("b")).select("lang", "k", "n", "b.*")
+    return counts.select("lang", "k", "n", bounds("k", "n").alias("b")).select("lang", "k", "n", *(F.round(f"b.{c}", 6).alias(c) for c in ("lo", "hi", "lower")))
 
 
 CHANCES = f"""WITH RECURSIVE {LAB}, g AS (SELECT lang, source, avg(p) AS p FROM lab GROUP BY 1, 2), o AS (SELECT lang, p, row_number() OVER (PARTITION BY lang ORDER BY p) AS i FROM g),
@@ -146,12 +165,18 @@ def chance_bounds(spark, sf):
     return found.withColumn("chance", F.round("chance", 9))
 
 
-@query("scan_files")
-def scan_files(spark, sf):
-    """The tables' files with their sizes; contents are not read."""
-    from driftglass.sources.files import listing
+TABLES = ("customer", "documents", "events", "labels", "lineitem", "orders", "pages")
 
-    return listing(spark, sf, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+@query("scan_files", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, count(DISTINCT {c}) AS ids FROM {t}" for t, c in zip(TABLES, ("c_custkey", "doc_id", "event_id", "doc_id", "l_orderkey", "o_orderkey", "page_id"), strict=True)))
+def scan_files(spark, sf):
+    """The tables with their rows and distinct ids, read from their files."""
+    ids = dict(zip(TABLES, ("c_custkey", "doc_id", "event_id", "doc_id", "l_orderkey", "o_orderkey", "page_id"), strict=True))
+    parts = [table(spark, sf, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.count_distinct(c).alias("ids")) for t, c in ids.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("spike_train")

@@ -268,7 +268,16 @@ def extents_all(spark, sf):
     return all_.select("id", "signal", status.alias("status"), F.coalesce("a", F.when(F.col("seen"), F.col("ha"))).alias("start"), F.coalesce("b", F.when(F.col("seen"), F.col("hb"))).alias("stop"))
 
 
-@query("train_diff")
+GREEDY = f"""WITH RECURSIVE {SIGNUPS}, pu AS (SELECT user_id, {T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS k FROM events WHERE event_type = 'purchase'),
+ps AS (SELECT user_id, list({{'t': t, 'k': k}}) AS ps FROM pu GROUP BY 1), s AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM su),
+f AS (SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS used, 0.0::DOUBLE AS shift FROM (SELECT DISTINCT user_id FROM s)
+UNION ALL SELECT user_id, j, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.k) END, greatest(shift, coalesce(b.d, 0)) FROM (SELECT f.user_id, s.i AS j, used, shift,
+list_min(list_transform(list_filter(ps, lambda x: abs(x.t - s.t) <= 86400 AND NOT list_contains(used, x.k)), lambda x: {{'d': abs(x.t - s.t), 't': x.t, 'k': x.k}})) AS b FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1 LEFT JOIN ps ON ps.user_id = f.user_id)),
+done AS (SELECT user_id, max(i) AS n, max(len(used)) AS matched, max(shift) AS shift FROM f GROUP BY 1)
+SELECT user_id, coalesce(matched, 0)::BIGINT AS matched, (coalesce(n, 0) - coalesce(matched, 0))::BIGINT AS lost, (coalesce(len(ps), 0) - coalesce(matched, 0))::BIGINT AS added, coalesce(shift, 0) AS shift FROM done FULL JOIN ps USING (user_id)"""
+
+
+@query("train_diff", GREEDY)
 def train_diff(spark, sf):
     """Per user: signups matched one to one with purchases within a day, greedily in time; lost, added and shift."""
     return greedy_train_match(of_type(spark, sf, "signup"), of_type(spark, sf, "purchase"), ["user_id"], 86_400.0)

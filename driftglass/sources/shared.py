@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -23,3 +23,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def staged(df: DataFrame, root: str, name: str) -> DataFrame:
+    """The rows written below ``root`` and read from there: what is used several times is worked out once, and a lost
+    executor costs a re-read."""
+    df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")

@@ -29,6 +29,22 @@ def write_version(rows: DataFrame, root: str, settings: dict) -> str:
     return version
 
 
+def cached(rows: DataFrame, root: str, settings: dict, build, rebuild: bool = True) -> tuple[DataFrame, str]:
+    """What ``build`` makes of the rows, and whether it was ``fresh`` or ``built``. The key is made of the settings and a hash
+    of the rows' contents, so a result is read only for exactly these rows and settings; without ``rebuild`` a missing or
+    stale one is an error."""
+    from .shared import exists
+
+    key = {**settings, "rows": table_hash(rows)}
+    path = f"{root}/version={version_of(key)}"
+    if exists(rows.sparkSession, f"{path}/_SUCCESS"):
+        return rows.sparkSession.read.parquet(path), "fresh"
+    if not rebuild:
+        raise KeyError("no result of these rows and settings is stored")
+    build(rows).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path), "built"
+
+
 def read_version(spark: SparkSession, root: str, settings: dict) -> DataFrame:
     """The version made with exactly these settings; a stale one is never read instead."""
     return spark.read.parquet(f"{root}/version={version_of(settings)}")
