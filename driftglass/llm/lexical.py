@@ -2,7 +2,7 @@
 
 A document's *impact* of a term is the part of its score that only the document decides: (10^9 tf) div (1000 tf + 8 m).
 The impacts of all its terms are folded into a sketch: a term's hash names a coordinate, and the coordinate keeps the
-largest impact of the terms that fall on it. A sketch has about four coordinates for each distinct term of its
+largest impact of the terms that fall on it. A sketch has some sixteen coordinates for each distinct term of its
 document, so it neither wastes room on short documents nor fills up on long ones. For a query, the sum over its terms
 of weight times coordinate is never below the document's score.
 
@@ -154,7 +154,7 @@ class Sketches:
         self.counted, self.m = counted, m
         self.impact = 1_000_000_000 * counted.tf // (1_000 * counted.tf + 8 * m[counted.doc])
         distinct = np.bincount(counted.doc, minlength=len(m))
-        width = np.int64(1) << np.ceil(np.log2(np.maximum(4 * distinct, 64))).astype(np.int64)
+        width = np.int64(1) << np.ceil(np.log2(np.maximum(16 * distinct, 256))).astype(np.int64)
         self.mask, self.base = (width - 1).astype(np.uint64), np.cumsum(width) - width
         self.cells = np.zeros(int(width.sum()), np.int64)
         np.maximum.at(self.cells, self._at(hashes(counted.words)[counted.code], counted.doc), self.impact)
