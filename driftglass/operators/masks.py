@@ -13,7 +13,7 @@ from . import runs as R
 def build(spans: DataFrame, dims: DataFrame, bounds: DataFrame) -> DataFrame:
     """Every (consumer, signal) of ``dims`` with its merged invalid spans clipped to the bounds; one without spans has
     a row with nulls, and all of it is valid. Consumers are never merged."""
-    merged = R.merge_intervals(spans, ["signal"])
+    merged = R.merge_intervals(spans, ["signal"], block=R.BLOCK)
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     return dims.join(merged, "signal", "left").select("consumer", "signal", F.greatest("start", F.when(F.col("start").isNotNull(), lo)).alias("start"), F.least("stop", F.when(F.col("stop").isNotNull(), hi)).alias("stop"), lo.alias("lo"), hi.alias("hi"))
 

@@ -59,4 +59,12 @@ def complement(intervals: DataFrame, bounds: DataFrame, keys: list[str], block:
 
 
 def union_length(intervals: DataFrame, keys: list[str], block: float | None = None) -> DataFrame:
-    return merge_intervals(intervals, keys, block=block).groupBy(*keys).agg(F.sum(F.col("stop") - F.col("start")).alias("length"))
+    """(keys, length). With ``block``, intervals are cut at the blocks' edges and merged inside them, so that no window
+    holds a whole key's intervals."""
+    length = F.sum(F.col("stop") - F.col("start")).alias("length")
+    if not block:
+        return merge_intervals(intervals, keys).groupBy(*keys).agg(length)
+    last = F.greatest(F.floor(F.col("start") / block), F.ceil(F.col("stop") / block) - 1)
+    cut = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
+    edge = {"start": F.greatest("start", F.col("_b") * block), "stop": F.least("stop", (F.col("_b") + 1) * block)}
+    return join_runs(cut.withColumns(edge), [*keys, "_b"], F.lit(0)).groupBy(*keys).agg(length)

@@ -9,6 +9,7 @@ from driftglass.functions.robust import half_even, ratio
 from driftglass.operators import masks as M
 from driftglass.operators import runs as R
 from driftglass.operators.joins import overlap_join
+from driftglass.sources.shared import shared_folder, staged
 
 from .base import FRAMES, events, frames, query, scored, table
 from .detection import ENTER, HYST, LEAVE
@@ -25,7 +26,7 @@ def built(spark, sf):
     """Run-length masks: (consumer, signal, start, stop) invalid spans, and the bounds of the grid."""
     dims = spark.createDataFrame(CONSUMERS, "consumer string, signal string")
     bounds = frames(spark, sf).agg(F.min("frame").alias("lo"), (F.max("frame") + 1).alias("hi"))
-    return M.build(hyst(spark, sf).select("signal", "start", "stop"), dims, bounds)
+    return staged(M.build(hyst(spark, sf).select("signal", "start", "stop"), dims, bounds), shared_folder(spark, "masks"), "spans")
 
 
 @query("build_masks", f"WITH {MASKS} SELECT consumer, signal, count(*) AS n_frames, count(*) FILTER (invalid) AS n_invalid FROM masks GROUP BY 1, 2")
@@ -63,15 +64,15 @@ def mask_to_spans(spark, sf):
 
 @query("time_lost", f"WITH {MASKS}, w AS (SELECT frame, bool_or(invalid) FILTER (consumer = 'rate') AS a, bool_or(invalid) FILTER (consumer = 'slow') AS b FROM masks WHERE consumer IN ('rate', 'slow') GROUP BY 1) SELECT count(*) FILTER (a OR b) AS either, count(*) FILTER (a AND NOT b) AS only_rate, count(*) FILTER (b AND NOT a) AS only_slow, count(*) FILTER (a AND b) AS both_, round(count(*) FILTER (a OR b)::DOUBLE / count(*), 6) AS share FROM w")
 def time_lost(spark, sf):
+    """Frames that either consumer lost, or both: lengths of unions, merged inside blocks."""
     spans = built(spark, sf)
-    cover = lambda name: R.merge_intervals(spans.where((F.col("consumer") == name) & F.col("start").isNotNull()).select("start", "stop"), [], block=R.BLOCK)
-    a, b = cover("rate"), cover("slow")
-    total = lambda df: df.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).scalar()
-    both = overlap_join(a, b.select(F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), [], 64)
-    both = both.agg(F.coalesce(F.sum(F.least("stop", "r_stop") - F.greatest("start", "r_start")), F.lit(0)).alias("both_"))
-    row = both.select("both_", total(a).alias("a"), total(b).alias("b"), spans.agg(F.max(F.col("hi") - F.col("lo"))).scalar().alias("n"))
-    either = F.col("a") + F.col("b") - F.col("both_")
-    return row.select(either.alias("either"), (F.col("a") - F.col("both_")).alias("only_rate"), (F.col("b") - F.col("both_")).alias("only_slow"), "both_", F.round(ratio(either, F.col("n")), 6).alias("share"))
+    lost = spans.where(F.col("consumer").isin("rate", "slow") & F.col("start").isNotNull())
+    each = lost.select(F.explode(F.array(F.col("consumer"), F.lit("either"))).alias("cover"), "start", "stop")
+    length = lambda name: F.coalesce(F.sum(F.when(F.col("cover") == name, F.col("length"))), F.lit(0)).alias(name)
+    row = R.union_length(each, ["cover"], block=R.BLOCK).agg(length("rate"), length("slow"), length("either"))
+    n = spans.agg(F.max(F.col("hi") - F.col("lo"))).scalar()
+    rate, slow, either = F.col("rate"), F.col("slow"), F.col("either")
+    return row.select("either", (either - slow).alias("only_rate"), (either - rate).alias("only_slow"), (rate + slow - either).alias("both_"), F.round(ratio(either, n), 6).alias("share"))
 
 
 @query("route_counts", "WITH d AS (SELECT c_mktsegment AS consumer, CASE WHEN c_acctbal < 0 THEN 'reject' WHEN c_acctbal > 9990 THEN 'clip' ELSE 'keep' END AS route FROM customer), r AS (SELECT unnest(['clip', 'keep', 'line', 'reject']) AS route), s AS (SELECT DISTINCT consumer FROM d) SELECT s.consumer, r.route, count(d.route) AS n FROM s CROSS JOIN r LEFT JOIN d ON d.consumer = s.consumer AND d.route = r.route GROUP BY 1, 2")

@@ -10,6 +10,7 @@ from driftglass.operators import runs as R
 from driftglass.operators.candidates import candidates, cores
 from driftglass.operators.joins import as_of, nearest, overlap_join
 from driftglass.operators.matching import greedy_train_match
+from driftglass.sources.shared import shared_folder, staged
 
 from .base import FRAMES, SCORED, events, frames, query, scored, table
 from .detection import CORES, DRIVER, ENTER, HYST, LEAVE
@@ -55,7 +56,7 @@ def covered_fraction(spark, sf):
 
 @query("judge_cores", f"WITH {CORES}, {MARKED}, o AS (SELECT c.c_start, c.start, c.stop, coalesce(sum(CASE WHEN a IS NOT NULL THEN least(b, c.stop) - greatest(a, c.start) END), 0)::DOUBLE / any_value(c.stop - c.start) AS f FROM cores c LEFT JOIN marks ON least(b, c.stop) > greatest(a, c.start) GROUP BY 1, 2, 3) SELECT c_start AS candidate, start, stop, round(f, 6) AS covered, CASE WHEN f >= 0.5 THEN 'motion' WHEN f > 0 THEN 'unjudged' ELSE 'negative' END AS judgement FROM o")
 def judge_cores(spark, sf):
-    z = scored(spark, sf)
+    z = staged(scored(spark, sf), shared_folder(spark, "scored"), "frames")
     found = cores(z, candidates(z, DRIVER), ENTER).select("candidate", "start", "stop")
     length = F.least("stop", "r_stop") - F.greatest("start", "r_start")
     hit = overlap_join(found, marks(spark, sf), [], 64).groupBy("candidate", "start", "stop").agg(F.sum(length).alias("n"))
