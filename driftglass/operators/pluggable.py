@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import overlap_join
 from .matching import greedy_train_match
+from .signal import finite_runs, peaks
 
 Cleaner = Callable[[DataFrame, list[str], str, str, int], DataFrame]
 Detector = Callable[[DataFrame, list[str]], DataFrame]
@@ -67,6 +70,46 @@ def operational_damage(series: DataFrame, spans: DataFrame, keys: list[str], det
     return found.withColumn("changed", (F.col("lost") > 0) | (F.col("added") > 0) | (F.col("shift") > shift) | (F.col("n_inside") > 0))
 
 
+def prominent(least: float, distance: int) -> Detector:
+    """A detector of peaks by prominence, for ``operational_damage``: each group's rows pass sorted, one group after another;
+    missing values split a group, and the highest of close peaks stays."""
+
+    def detect(series: DataFrame, keys: list[str]) -> DataFrame:
+        names = [*keys, "at"]
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, schema, out = None, [], None, []
+
+            def done() -> None:
+                x = np.array([v for _, v in held], float)
+                for lo, hi in finite_runs(x):
+                    out.extend([*now, held[lo + i][0]] for i in peaks(x[lo:hi], least, distance))
+
+            def batch_of() -> pa.RecordBatch:
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, names, strict=True)], names=names)
+
+            for batch in batches:
+                schema = batch.schema
+                for *key, at, x in zip(*(batch[n].to_pylist() for n in [*names, "x"]), strict=True):
+                    if key != now:
+                        if now is not None:
+                            done()
+                        now, held = key, []
+                    held.append((at, np.nan if x is None else x))
+                yield batch_of()
+                out.clear()
+            if now is not None:
+                done()
+                yield batch_of()
+
+        kinds = dict(series.dtypes)
+        ordered = series.select(*names, "x").repartition(*keys).sortWithinPartitions(*names)
+        return ordered.mapInArrow(find, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+    return detect
+
+
 def damage_extent(damage: DataFrame, settle: int, lo: Column, hi: Column) -> DataFrame:
     """Spans of changed events, padded by what the consumer needs to settle, inside the record ``[lo, hi)``."""
     padded = {"extent_start": F.greatest(lo, F.col("start") - settle), "extent_stop": F.least(hi, F.col("stop") + settle)}

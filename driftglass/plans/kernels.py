@@ -12,8 +12,9 @@ from driftglass.operators import learning as L
 from driftglass.operators import runs as R
 from driftglass.operators import signal as K
 from driftglass.operators.ranking import holm
+from driftglass.sources.shared import shared_folder, staged
 
-from .base import LOGS, query, scored, table
+from .base import LOGS, SCORED, query, scored, table
 from .metrics import LAB, labelled
 
 RATE = 24.0  # frames a day
@@ -27,6 +28,14 @@ def filled(spark, sf):
     return grid.join(z, ["signal", "frame"], "left").select("signal", (F.col("frame") - F.col("lo")).alias("frame"), "x")
 
 
+def in_chunks(chunk: int, halo: int) -> str:
+    """Finite frames of each signal, counted from its first, in chunks with halos: c (signal, chunk, own, frame, x), and the runs of frames in a row."""
+    return f"""{SCORED}, b AS (SELECT signal, min(frame) AS lo FROM scored GROUP BY 1), x AS (SELECT signal, frame - lo AS frame, x FROM scored JOIN b USING (signal) WHERE x IS NOT NULL),
+o AS (SELECT *, frame // {chunk} AS own, frame % {chunk} AS inside FROM x), e AS (SELECT signal, frame, x, own, unnest([own, CASE WHEN inside < {halo} AND own > 0 THEN own - 1 END, CASE WHEN inside >= {chunk - halo} THEN own + 1 END]) AS chunk FROM o),
+c AS (SELECT signal, chunk, own = chunk AS own, frame, x, frame - row_number() OVER (PARTITION BY signal, chunk ORDER BY frame) AS run FROM e WHERE chunk IS NOT NULL),
+centres AS (SELECT signal, chunk, quantile_cont(x, 0.5) AS mid FROM c GROUP BY 1, 2), sigmas AS (SELECT signal, chunk, any_value(mid) AS mid, 1.4826 * quantile_cont(abs(x - mid), 0.5) AS sigma FROM c JOIN centres USING (signal, chunk) GROUP BY 1, 2)"""
+
+
 @query("band_filter")
 def band_filter(spark, sf):
     """Zero-phase band-pass from two to twelve days' periods."""
@@ -40,12 +49,35 @@ def notch_filter(spark, sf):
     return K.per_chunk(filled(spark, sf), ["signal"], "frame", "x", lambda x: x - K.zero_phase(sos)(x), chunk=512, halo=128)
 
 
-@query("beat_peaks")
+PEAKS = f"""WITH RECURSIVE {in_chunks(512, 64)}, n AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS z FROM c WINDOW w AS (PARTITION BY signal, chunk, run ORDER BY frame)),
+tops AS (SELECT n.*, sigma FROM n JOIN sigmas USING (signal, chunk) WHERE x > a AND x >= z AND sigma > 0),
+edges AS (SELECT t.signal, t.chunk, t.run, t.frame, max(h.frame) FILTER (h.frame < t.frame) AS l, min(h.frame) FILTER (h.frame > t.frame) AS r FROM tops t JOIN c h ON h.signal = t.signal AND h.chunk = t.chunk AND h.run = t.run AND h.x > t.x GROUP BY 1, 2, 3, 4),
+lowest AS (SELECT t.signal, t.chunk, t.run, t.frame, min(v.x) FILTER (v.frame <= t.frame) AS left_, min(v.x) FILTER (v.frame >= t.frame) AS right_ FROM tops t LEFT JOIN edges e USING (signal, chunk, run, frame) JOIN c v ON v.signal = t.signal AND v.chunk = t.chunk AND v.run = t.run AND v.frame > coalesce(l, -1) AND v.frame < coalesce(r, 1000000000) GROUP BY 1, 2, 3, 4),
+high AS (SELECT *, row_number() OVER (PARTITION BY signal, chunk, run ORDER BY x DESC, frame) AS i FROM tops JOIN lowest USING (signal, chunk, run, frame) WHERE x - greatest(left_, right_) >= 1.2 * sigma),
+f AS (SELECT signal, chunk, run, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT signal, chunk, run FROM high) UNION ALL SELECT f.signal, f.chunk, f.run, h.i, CASE WHEN len(list_filter(kept, lambda q: abs(q - h.frame) < 6)) = 0 THEN list_append(kept, h.frame) ELSE kept END FROM f JOIN high h ON h.signal = f.signal AND h.chunk = f.chunk AND h.run = f.run AND h.i = f.i + 1),
+done AS (SELECT signal, chunk, run, unnest(max_by(kept, i)) AS frame FROM f GROUP BY 1, 2, 3)
+SELECT signal, frame, round(x, 6) AS height FROM done JOIN high USING (signal, chunk, run, frame) WHERE own"""
+
+
+@query("beat_peaks", PEAKS)
 def beat_peaks(spark, sf):
-    return K.find_peaks(filled(spark, sf), ["signal"], "frame", "x", 1.2, 6, chunk=512, halo=64)
+    return K.find_peaks(filled(spark, sf), ["signal"], "frame", "x", 1.2, 6, chunk=512, halo=64).withColumn("height", F.round("height", 6))
 
 
-@query("spectral_features")
+SPECTRA = f"""WITH {SCORED}, b AS (SELECT signal, min(frame) AS lo FROM scored GROUP BY 1), v AS (SELECT signal, (frame - lo) // 240 AS part, frame, x FROM scored JOIN b USING (signal) WHERE x IS NOT NULL),
+y AS (SELECT signal, part, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY signal, part) AS n, x - avg(x) OVER (PARTITION BY signal, part) AS y FROM v WINDOW w AS (PARTITION BY signal, part ORDER BY frame)),
+h AS (SELECT *, y * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS w FROM y WHERE n >= 48), k AS (SELECT unnest(range(121)) AS k),
+f AS (SELECT signal, part, n, k, pow(sum(w * cos(2 * pi() * k * i / n)), 2) + pow(sum(w * sin(2 * pi() * k * i / n)), 2) AS power FROM h JOIN k ON k <= n // 2 GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, power / sum(power) OVER (PARTITION BY signal, part) AS p FROM f), c AS (SELECT *, sum(p) OVER (PARTITION BY signal, part ORDER BY k) AS upto FROM p),
+s AS (SELECT signal, part, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(count(*)) AS entropy, min(24.0 * k / n) FILTER (upto >= 0.95) AS edge, sum(p) FILTER (abs(24.0 * k / n - 1) <= 1) AS line FROM c GROUP BY 1, 2),
+r AS (SELECT a.signal, a.part, a.n, b.i - a.i AS l, sum(a.y * b.y) AS r FROM h a JOIN h b ON a.signal = b.signal AND a.part = b.part AND b.i - a.i BETWEEN 0 AND 122 GROUP BY 1, 2, 3, 4),
+q AS (SELECT *, r / max(r) FILTER (l = 0) OVER (PARTITION BY signal, part) AS q FROM r), g AS (SELECT *, lag(q) OVER (PARTITION BY signal, part ORDER BY l) AS a, lead(q) OVER (PARTITION BY signal, part ORDER BY l) AS c FROM q),
+t AS (SELECT signal, part, max_by({{'l': l, 'a': a, 'b': q, 'c': c}}, (q, -l)) AS t FROM g WHERE l >= 6 AND l < least(121, n - 2) GROUP BY 1, 2),
+e AS (SELECT signal, part, t, CASE WHEN t.a - 2 * t.b + t.c <> 0 THEN 0.5 * (t.a - t.c) / (t.a - 2 * t.b + t.c) ELSE 0 END AS shift FROM t)
+SELECT signal, part, round(entropy, 6) AS entropy, round(edge, 6) AS edge, round(line, 6) AS line, round(24.0 / (t.l + shift), 6) AS rate, round(t.b - 0.25 * (t.a - t.c) * shift, 6) AS height FROM s JOIN e USING (signal, part)"""
+
+
+@query("spectral_features", SPECTRA)
 def spectral_features(spark, sf):
     """Entropy, edge, line share and autocorrelation rate per signal and stretch of 240 frames."""
 
@@ -58,7 +90,8 @@ def spectral_features(spark, sf):
         return pa.table({"signal": [key[0].as_py()], "part": [key[1].as_py()], **{k: [v] for k, v in s.items()}, "rate": [rate], "height": [height]})
 
     rows = filled(spark, sf).withColumn("part", F.expr("frame div 240"))
-    return rows.groupBy("signal", "part").applyInArrow(features, "signal string, part long, entropy double, edge double, line double, rate double, height double")
+    found = rows.groupBy("signal", "part").applyInArrow(features, "signal string, part long, entropy double, edge double, line double, rate double, height double")
+    return found.select("signal", "part", *(F.round(c, 6).alias(c) for c in ("entropy", "edge", "line", "rate", "height")))
 
 
 def features(spark, sf):
@@ -70,11 +103,16 @@ def features(spark, sf):
 FEATURES = ["n_chars", "odd", "lines"]
 
 
+def stored_features(spark, sf):
+    """Written once: every fit reads them."""
+    return staged(features(spark, sf), shared_folder(spark, "features"), "rows")
+
+
 @query("gbt_fit")
 def gbt_fit(spark, sf):
     """Weighted boosted trees, fitted twice: each half of the documents, by a hash of the id, is scored by the model of the
     other."""
-    rows = features(spark, sf).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rows = stored_features(spark, sf).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     out = []
     for half in (0, 1):
         model = L.boosted(FEATURES, trees=5).fit(L.weighted(rows.where(F.col("half") != half), "y", 0.5))
@@ -85,7 +123,7 @@ def gbt_fit(spark, sf):
 @query("run_modes")
 def run_modes(spark, sf):
     """Held-out scores per language, each held out in turn, with the id of the model that gave them."""
-    rows = features(spark, sf)
+    rows = stored_features(spark, sf)
     targets = sorted(r.lang for r in rows.select("lang").where("lang is not null").distinct().collect())
     return L.leave_one_out(rows, ["n_chars", "odd", "lines"], "lang", targets, 0.5, trees=3).select("doc_id", "lang", "y", "p", "model")
 
@@ -94,7 +132,7 @@ def run_modes(spark, sf):
 def adapted_modes(spark, sf):
     """Scores per language by a model that also learned from the language's rows of one declared source, the first by
     name; those rows are kept apart and not scored."""
-    rows = features(spark, sf)
+    rows = stored_features(spark, sf)
     targets = sorted(r.lang for r in rows.select("lang").where("lang is not null").distinct().collect())
     admitted = F.col("source") == F.lit(rows.agg(F.min("source")).first()[0])
     return L.adapted(rows, FEATURES, "lang", targets, admitted, 0.5, trees=3).select("doc_id", "lang", "y", "p", "status", "model")
@@ -103,7 +141,7 @@ def adapted_modes(spark, sf):
 @query("inner_cv")
 def inner_cv(spark, sf):
     """Area under the curve of two tree depths over folds that no group of language and source is split by."""
-    rows = L.weighted(features(spark, sf).withColumn("group", F.concat_ws("|", "lang", "source")), "y", 0.5)
+    rows = L.weighted(stored_features(spark, sf).withColumn("group", F.concat_ws("|", "lang", "source")), "y", 0.5)
     depths = [2, 4]
     found = L.tuned(rows, FEATURES, "group", 2, depths).avgMetrics
     return spark.createDataFrame([(d, float(m)) for d, m in zip(depths, found, strict=True)], "depth int, auc double")
@@ -112,7 +150,7 @@ def inner_cv(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     """What the error of the fitted trees gains when one feature at a time is permuted."""
-    rows = features(spark, sf)
+    rows = stored_features(spark, sf)
     model = L.boosted(FEATURES, trees=5).fit(L.weighted(rows, "y", 0.5))
     return L.permutation_importance(model, rows, FEATURES, "y").withColumn("drop", F.round("drop", 9))
 
@@ -179,16 +217,34 @@ def scan_files(spark, sf):
     return out
 
 
-@query("spike_train")
+def excursions(spark, sf):
+    return D.per_stretch(filled(spark, sf), ["signal"], "frame", "x", lambda x: D.spikes(x, 2.0, 3), chunk=240, halo=24)
+
+
+SPIKES = f"""{in_chunks(240, 24)}, n AS (SELECT c.*, sigma, abs(x - mid) AS y, lag(abs(x - mid)) OVER w AS a, lead(abs(x - mid)) OVER w AS z FROM c JOIN sigmas USING (signal, chunk) WINDOW w AS (PARTITION BY signal, chunk, run ORDER BY frame)),
+far AS (SELECT *, row_number() OVER (PARTITION BY signal, chunk ORDER BY frame) AS i FROM n WHERE y > a AND y >= z AND y > 2 * sigma AND sigma > 0),
+f AS (SELECT signal, chunk, i, frame, frame AS kept FROM far WHERE i = 1 UNION ALL SELECT h.signal, h.chunk, h.i, h.frame, CASE WHEN h.frame - f.kept >= 3 THEN h.frame ELSE f.kept END FROM f JOIN far h ON h.signal = f.signal AND h.chunk = f.chunk AND h.i = f.i + 1),
+train AS (SELECT signal, frame, x AS height FROM f JOIN far USING (signal, chunk, frame) WHERE kept = frame AND own)"""
+
+
+@query("spike_train", f"WITH RECURSIVE {SPIKES} SELECT signal, frame, round(height, 6) AS height FROM train")
 def spike_train(spark, sf):
     """Excursions beyond two robust sigmas, by stretches of 240 frames."""
-    return D.per_stretch(filled(spark, sf), ["signal"], "frame", "x", lambda x: D.spikes(x, 2.0, 3), chunk=240, halo=24)
+    return excursions(spark, sf).withColumn("height", F.round("height", 6))
+
+
+LOCKED = f"""WITH RECURSIVE {SPIKES}, g AS (SELECT signal, frame // 240 AS part, frame - lag(frame) OVER (PARTITION BY signal, frame // 240 ORDER BY frame) AS gap FROM train),
+t AS (SELECT signal, part, count(*) AS n_spikes, count(gap) AS m_intervals, count(*) FILTER (round_even(gap / 24.0, 0) >= 1 AND abs(gap - 24 * round_even(gap / 24.0, 0)) <= 2) AS k_locked FROM g GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN m_intervals >= 3 THEN least(1, list_sum(list_transform(range(k_locked, m_intervals + 1), lambda j: exp(lgamma(m_intervals + 1) - lgamma(j + 1) - lgamma(m_intervals - j + 1) + j * ln(1 / 6.0) + (m_intervals - j) * ln(5 / 6.0))))) END AS p FROM t),
+r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY signal) AS m FROM q WHERE p IS NOT NULL WINDOW w AS (PARTITION BY signal ORDER BY p, part)),
+u AS (SELECT *, bool_and(p <= 0.05 / (m - i + 1)) OVER (PARTITION BY signal ORDER BY i) AS distrusted FROM r)
+SELECT signal, part, n_spikes, m_intervals, k_locked, 'tested' AS status, round(p, 9) AS p, distrusted FROM u UNION ALL SELECT signal, part, n_spikes, m_intervals, k_locked, 'untested_few_spikes', NULL, false FROM q WHERE p IS NULL"""
 
 
-@query("line_tests")
+@query("line_tests", LOCKED)
 def line_tests(spark, sf):
     """Stretches of 240 frames whose excursions keep a daily rhythm: tested one by one, rejected as a family per signal."""
-    train = spike_train(spark, sf).withColumn("part", F.expr("frame div 240"))
+    train = excursions(spark, sf).withColumn("part", F.expr("frame div 240"))
     tests = D.lock_tests(train, ["signal"], "part", "frame", RATE, 2.0, 3)
     judged = holm(tests.where("status = 'tested'"), ["signal"], "p", 0.05, ["part"]).withColumnRenamed("rejected", "distrusted")
     return judged.unionByName(tests.where("status <> 'tested'").withColumn("distrusted", F.lit(False))).withColumn("p", F.round("p", 9))

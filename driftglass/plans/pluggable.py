@@ -9,6 +9,7 @@ from driftglass.functions.robust import log_envelope
 from driftglass.operators import guards as G
 from driftglass.operators import pluggable as L
 from driftglass.operators.runs import true_runs
+from driftglass.sources.shared import shared_folder, staged
 
 from .base import FRAMES, LOGS, SCORED, events, frames, query, scored, table
 
@@ -49,6 +50,14 @@ def operational_damage(spark, sf):
     return damage(spark, sf).drop("shift")
 
 
+@query("peak_damage")
+def peak_damage(spark, sf):
+    """The same for peaks by prominence, which may move by two frames but count as changed if by more than one."""
+    z = staged(scored(spark, sf), shared_folder(spark, "scored"), "frames")
+    spans = true_runs(z.where("abs(z) >= 1.5").select("signal", "frame"), ["signal"], "frame")
+    return L.operational_damage(z.select("signal", F.col("frame").alias("at"), "x"), spans, ["signal"], L.prominent(0.5, 3), 12, 2.0, 1.0)
+
+
 @query("damage_extents", f"{DAMAGE}, b AS (SELECT min(frame) AS lo, max(frame) + 1 AS hi FROM frames) SELECT signal, start, stop, greatest(lo, start - 3) AS extent_start, least(hi, stop + 3) AS extent_stop FROM d, b WHERE lost > 0 OR added > 0 OR n_inside > 0")
 def damage_extents(spark, sf):
     """Padded spans of the events that changed the train, inside the record."""

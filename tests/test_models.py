@@ -24,7 +24,7 @@ def rows(spark):
     for i in range(360):
         a, b = r.random(), r.random()
         data.append((i, a, b, float((a + 0.4 * b > 0.7) != (r.random() < 0.12)), f"g{i % 3}", f"s{i % 9}"))
-    return spark.createDataFrame(data, "id long, a double, b double, y double, g string, s string").cache()
+    return spark.createDataFrame(data, "id long, a double, b double, y double, g string, s string").coalesce(1).cache()
 
 
 def test_continued_trees_equal_one_longer_fit(spark, rows):

@@ -69,3 +69,36 @@ def test_guards(spark):
     table = {("a", "x"): "why"}
     pairs = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "x")], "h string, c string")
     assert [r[0] for r in pairs.select(G.lookup([F.col("h"), F.col("c")], table)).collect()] == ["why", None, None]
+
+
+def test_damage_by_prominent_peaks_equals_a_serial_version(spark):
+    import numpy as np
+
+    from driftglass.operators import pluggable as L
+    from driftglass.operators.matching import match_trains
+    from driftglass.operators.signal import finite_runs, peaks
+
+    r = np.random.default_rng(5)
+    series = {k: r.normal(size=160) for k in "ab"}
+    series["b"][40:44] = np.nan
+    rows = spark.createDataFrame([(k, i, None if np.isnan(v) else float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, at long, x double").repartition(5)
+    spans = [("a", 20, 23), ("a", 60, 61), ("a", 155, 160), ("b", 41, 43), ("b", 90, 97)]
+    found = L.operational_damage(rows, spark.createDataFrame(spans, "k string, start long, stop long"), ["k"], L.prominent(0.5, 3), 12, 2.0, 1.0)
+    got = {(q.k, q.start, q.stop): (q.lost, q.added, q["shift"], q.n_inside, q.changed) for q in found.collect()}
+
+    def train(x, first):
+        return np.array([first + lo + i for lo, hi in finite_runs(x) for i in peaks(x[lo:hi], 0.5, 3)], float)
+
+    want = {}
+    for k, start, stop in spans:
+        lo, hi = max(0, start - 12), min(160, stop + 12)
+        whole = series[k][lo:hi]
+        left = whole.copy()
+        left[start - lo : stop - lo] = np.nan
+        a, b = train(whole, lo), train(left, lo)
+        outside = lambda t: t[(t < start) | (t >= stop)]  # noqa: B023, E731
+        _, lost, added, shift = match_trains(outside(a), outside(b), 2.0)
+        inside = len(a) - len(outside(a))
+        want[k, start, stop] = (lost, added, shift, inside, bool(lost or added or shift > 1 or inside))
+    assert got == want
+    assert len({v[4] for v in want.values()}) > 0

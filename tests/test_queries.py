@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from driftglass.plans import catalog
@@ -17,10 +18,10 @@ SF = "/root/testdata/sf0.001"
 #: Queries that SQL cannot state, and where their operators are held against an independent result.
 ELSEWHERE = {
     "line_tests": "test_numeric", "band_filter": "test_numeric", "notch_filter": "test_numeric", "beat_peaks": "test_numeric",
-    "spectral_features": "test_numeric", "spike_train": "test_numeric", "template_trains": "test_numeric", "injection_harm": "test_numeric",
+    "spike_train": "test_numeric", "template_trains": "test_numeric", "injection_harm": "test_numeric",
     "run_modes": "here", "adapted_modes": "here", "gbt_fit": "here", "inner_cv": "here", "feature_importance": "here",
     "beat_rescue": "test_beats", "beat_gaps": "test_beats", "template_search": "test_beats", "aligned_regressor": "test_beats", "decimated": "test_beats", "harm_trials": "test_beats",
-    "continued_fit": "test_models", "chosen_weights": "test_models", "nested_search": "test_models", "registry_scores": "test_models",
+    "continued_fit": "test_models", "chosen_weights": "test_models", "nested_search": "test_models", "registry_scores": "test_models", "peak_damage": "test_pluggable",
 }
 
 
@@ -112,3 +113,46 @@ def test_crossfit_leaves_the_own_group_out(spark):
         assert r.crossfit == pytest.approx(sum(others) / len(others))
     fitted = sorted((r.p, r.calibrated) for r in L.isotonic_calibrated(rows, "p", "y").collect())
     assert all(0 <= a[1] <= b[1] <= 1 for a, b in zip(fitted, fitted[1:], strict=False))
+
+
+def test_gbt_fit_scores_rows_it_was_not_fitted_on(spark):
+    from driftglass.operators import learning as L
+    from driftglass.plans.kernels import FEATURES, features
+
+    sf = "/root/testdata/sf0.01"
+    got = catalog.QUERIES["gbt_fit"](spark, sf).collect()
+    rows = features(spark, sf).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in rows.collect())
+    for half in (0, 1):
+        train, held = rows.where(F.col("half") != half), rows.where(F.col("half") == half)
+        model = L.boosted(FEATURES, trees=5).fit(L.weighted(train, "y", 0.5))
+        want = {r.doc_id: r.p for r in L.scores(model, held).collect()}
+        assert {r.doc_id: r.p for r in got if r.half == half} == pytest.approx(want, abs=1e-6)
+    ranked = sorted((r.p, r.y) for r in got)
+    below = wins = ties = 0
+    for p, y in ranked:
+        if y == 1:
+            wins += sum(q < p for q, z in ranked if z == 0)
+            ties += sum(q == p for q, z in ranked if z == 0)
+            below += 1
+    negatives = len(ranked) - below
+    assert (wins + ties / 2) / (below * negatives) > 0.6  # held out
+
+
+def test_inner_cv_and_importance_of_the_queries(spark):
+    """Areas under the curve recounted over the held-out rows of each fold; importance of the query's own rows."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from driftglass.operators import learning as L
+    from driftglass.plans.kernels import FEATURES, features
+
+    sf = "/root/testdata/sf0.01"
+    rows = L.folds(L.weighted(features(spark, sf).withColumn("group", F.concat_ws("|", "lang", "source")), "y", 0.5), "group", 2).cache()
+    for r in catalog.QUERIES["inner_cv"](spark, sf).collect():
+        areas = []
+        for fold in (0, 1):
+            model = L.boosted(FEATURES, depth=r.depth).fit(rows.where(F.col("fold") != fold))
+            areas.append(BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="_raw").evaluate(model.transform(rows.where(F.col("fold") == fold))))
+        assert r.auc == pytest.approx(sum(areas) / 2, abs=0.02)
+    by = {r.feature: r["drop"] for r in catalog.QUERIES["feature_importance"](spark, sf).collect()}
+    assert set(by) == set(FEATURES) and max(by.values()) > 0
