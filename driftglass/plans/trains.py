@@ -13,7 +13,7 @@ from driftglass.sources.shared import shared_folder, staged
 from driftglass.streaming.replay import log_stream, to_table
 from driftglass.streaming.runs import hysteresis_stream
 
-from .base import query, scored, table
+from .base import SCORED, query, scored, table
 from .detection import ENTER, HYST, LEAVE
 from .kernels import FEATURES, features, filled
 from .records import RULES
@@ -55,10 +55,25 @@ def aligned_regressor(spark, sf):
     return fit.select("signal", "n_fit", *(F.round(c, 9).alias(c) for c in ("coefficient", "rms_before", "rms_after", "survival")))
 
 
-@query("decimated")
+def decimation_sql(source: str, out: str, r: int) -> str:
+    """One stage over (signal, frame, x) on a full grid from 0: filled, reflected through the end points, filtered at each r-th frame."""
+    n, w = 20 * r, "PARTITION BY signal ORDER BY frame"
+    at = "CASE WHEN x IS NOT NULL THEN frame END"
+    return f"""{out}_o AS (SELECT list_transform(range({n} + 1), lambda m: CASE WHEN m = {n // 2} THEN 1 ELSE sin(pi() * 0.8 / {r} * (m - {n // 2})) / (pi() * 0.8 / {r} * (m - {n // 2})) END * (0.54 - 0.46 * cos(2 * pi() * m / {n}))) AS o),
+{out}_h AS (SELECT list_transform(o, lambda t: t / list_sum(o)) AS o FROM {out}_o), {out}_g AS (SELECT list_transform(range(2 * {n} + 1), lambda k: list_sum(list_transform(range(greatest(0, k - {n}), least(k, {n}) + 1), lambda m: o[m + 1] * o[k - m + 1]))) AS g FROM {out}_h),
+{out}_f AS (SELECT *, last_value(x IGNORE NULLS) OVER p AS pv, last_value({at} IGNORE NULLS) OVER p AS pf, first_value(x IGNORE NULLS) OVER q AS nv, first_value({at} IGNORE NULLS) OVER q AS nf FROM {source} WINDOW p AS ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{out}_l AS (SELECT signal, list(CASE WHEN pf IS NULL THEN nv WHEN nf IS NULL OR nf = pf THEN pv ELSE pv + (nv - pv) * (frame - pf) / (nf - pf) END ORDER BY frame) AS v, list(x ORDER BY frame) AS x, count(*) AS n FROM {out}_f GROUP BY 1),
+{out}_e AS (SELECT signal, x, n, list_concat(list_concat(list_transform(range({n}), lambda k: 2 * v[1] - v[{n} - k + 1]), v), list_transform(range({n}), lambda k: 2 * v[n] - v[n - k - 1])) AS e FROM {out}_l),
+{out}_j AS (SELECT *, unnest(range(n // {r})) AS j FROM {out}_e), {out} AS (SELECT signal, j AS frame, CASE WHEN list_count(x[j * {r} + 1 : j * {r} + {r}]) = {r} THEN list_dot_product(g, e[j * {r} + 1 : j * {r} + {2 * n + 1}]) END AS x FROM {out}_j, {out}_g)"""
+
+
+GRID = f"{SCORED}, ends AS (SELECT signal, min(frame) AS lo, max(frame) AS hi FROM scored GROUP BY 1), slots AS (SELECT signal, lo, unnest(range(lo, hi + 1)) AS frame FROM ends), full_ AS (SELECT s.signal, s.frame - lo AS frame, x FROM slots s LEFT JOIN scored USING (signal, frame))"
+
+
+@query("decimated", f"WITH {GRID}, {decimation_sql('full_', 'third', 3)}, {decimation_sql('third', 'sixth', 2)} SELECT signal, frame, round(x, 6) AS x FROM sixth WHERE x IS NOT NULL")
 def decimated(spark, sf):
     """Each signal at a sixth of its rate, in two stages."""
-    return decimation.decimate(filled(spark, sf), ["signal"], "frame", "x", [3, 2], chunk=4096).withColumn("x", F.round("x", 9))
+    return decimation.decimate(filled(spark, sf), ["signal"], "frame", "x", [3, 2], chunk=4096).withColumn("x", F.round("x", 6))
 
 
 SHARES = (0.05, 0.5, 0.95)
