@@ -36,17 +36,41 @@ c AS (SELECT signal, chunk, own = chunk AS own, frame, x, frame - row_number() O
 centres AS (SELECT signal, chunk, quantile_cont(x, 0.5) AS mid FROM c GROUP BY 1, 2), sigmas AS (SELECT signal, chunk, any_value(mid) AS mid, 1.4826 * quantile_cont(abs(x - mid), 0.5) AS sigma FROM c JOIN centres USING (signal, chunk) GROUP BY 1, 2)"""
 
 
-@query("band_filter")
+def zero_phase_sql(sos: np.ndarray, chunk: int, halo: int) -> str:
+    """z (signal, frame, x, y) for the own frames of each chunk: two sections in a row, forward and then backward, each started at rest on
+    the level of the first value of a run of finite frames."""
+
+    def one_way(source: str, out: str) -> str:
+        start, first, then = [], "x", []
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+            gain = (b0 + b1 + b2) / (1 + a1 + a2) if abs(1 + a1 + a2) > 1e-12 else 0.0
+            level, before = f"({first}) * {gain!r}", first
+            start += [f"({b1!r}) * ({before}) - ({a1!r}) * ({level}) + ({b2!r}) * ({before}) - ({a2!r}) * ({level}) AS s{k}", f"({b2!r}) * ({before}) - ({a2!r}) * ({level}) AS t{k}"]
+            then += [f"({b1!r}) * {'x' if not k else f'y{k - 1}'} - ({a1!r}) * y{k} + t{k} AS s{k}", f"({b2!r}) * {'x' if not k else f'y{k - 1}'} - ({a2!r}) * y{k} AS t{k}"]
+            first = level
+        keys = "signal, chunk, run"
+        return f"""{out} AS (SELECT {keys}, i, frame, {first} AS y, {", ".join(start)} FROM {source} WHERE i = 1 UNION ALL
+SELECT {keys}, i, frame, y1, {", ".join(then)} FROM (SELECT *, ({sos[1][0].item()!r}) * y0 + s1 AS y1 FROM (SELECT n.*, s0, t0, s1, t1, ({sos[0][0].item()!r}) * n.x + s0 AS y0 FROM {out} f JOIN {source} n ON n.signal = f.signal AND n.chunk = f.chunk AND n.run = f.run AND n.i = f.i + 1)))"""
+
+    order = "row_number() OVER (PARTITION BY signal, chunk, run ORDER BY frame"
+    return f"""{in_chunks(chunk, halo)}, ahead AS (SELECT *, {order}) AS i FROM c), {one_way("ahead", "there")}, turned AS (SELECT signal, chunk, run, frame, y AS x, {order} DESC) AS i FROM there), {one_way("turned", "back")},
+slots AS (SELECT signal, unnest(range(0, max(frame) + 1)) AS frame FROM (SELECT signal, frame - lo AS frame FROM scored JOIN b USING (signal)) GROUP BY 1),
+z AS (SELECT s.signal, s.frame, c.x, back.y FROM slots s LEFT JOIN c ON c.signal = s.signal AND c.frame = s.frame AND c.own LEFT JOIN back ON back.signal = c.signal AND back.chunk = c.chunk AND back.frame = c.frame)"""
+
+
+BAND, DAILY = K.butterworth(2, 0.08, 0.5, RATE), K.butterworth(2, 0.9, 1.1, RATE)
+
+
+@query("band_filter", f"WITH RECURSIVE {zero_phase_sql(BAND, 512, 128)} SELECT signal, frame, CASE WHEN abs(y) < 5e-7 THEN 0 ELSE round(y, 6) END AS y FROM z")
 def band_filter(spark, sf):
     """Zero-phase band-pass from two to twelve days' periods."""
-    return K.per_chunk(filled(spark, sf), ["signal"], "frame", "x", K.zero_phase(K.butterworth(2, 0.08, 0.5, RATE)), chunk=512, halo=128)
+    return K.per_chunk(filled(spark, sf), ["signal"], "frame", "x", K.zero_phase(BAND), chunk=512, halo=128).withColumn("y", F.when(F.abs("y") < 5e-7, 0.0).otherwise(F.round("y", 6)))  # no zero with a sign
 
 
-@query("notch_filter")
+@query("notch_filter", f"WITH RECURSIVE {zero_phase_sql(DAILY, 512, 128)} SELECT signal, frame, round(x - y, 6) AS y FROM z")
 def notch_filter(spark, sf):
     """A daily rhythm taken out: the signal less its narrow band."""
-    sos = K.butterworth(2, 0.9, 1.1, RATE)
-    return K.per_chunk(filled(spark, sf), ["signal"], "frame", "x", lambda x: x - K.zero_phase(sos)(x), chunk=512, halo=128)
+    return K.per_chunk(filled(spark, sf), ["signal"], "frame", "x", lambda x: x - K.zero_phase(DAILY)(x), chunk=512, halo=128).withColumn("y", F.round("y", 6))
 
 
 PEAKS = f"""WITH RECURSIVE {in_chunks(512, 64)}, n AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS z FROM c WINDOW w AS (PARTITION BY signal, chunk, run ORDER BY frame)),

@@ -17,11 +17,10 @@ SF = "/root/testdata/sf0.001"
 
 #: Queries that SQL cannot state, and where their operators are held against an independent result.
 ELSEWHERE = {
-    "line_tests": "test_numeric", "band_filter": "test_numeric", "notch_filter": "test_numeric", "beat_peaks": "test_numeric",
-    "spike_train": "test_numeric", "template_trains": "test_numeric", "injection_harm": "test_numeric",
+    "template_trains": "test_numeric", "injection_harm": "test_numeric",
     "run_modes": "here", "adapted_modes": "here", "gbt_fit": "here", "inner_cv": "here", "feature_importance": "here",
-    "beat_rescue": "test_beats", "beat_gaps": "test_beats", "template_search": "test_beats", "aligned_regressor": "test_beats", "decimated": "test_beats", "harm_trials": "test_beats",
-    "continued_fit": "test_models", "chosen_weights": "test_models", "nested_search": "test_models", "registry_scores": "test_models", "peak_damage": "test_pluggable",
+    "beat_rescue": "test_beats", "beat_gaps": "test_beats", "template_search": "test_beats", "aligned_regressor": "test_beats", "harm_trials": "test_beats", "peak_damage": "test_pluggable",
+    "continued_fit": "test_models", "chosen_weights": "test_models", "nested_search": "test_models", "registry_scores": "test_models",
 }
 
 
