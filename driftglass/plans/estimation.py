@@ -148,9 +148,14 @@ def band_excess(spark, sf):
 
 @query("route_events", "WITH e AS (SELECT o_orderkey, max(l_quantity) AS top, sqrt(greatest(0, avg(l_quantity * l_quantity) - 625)) / 25 AS resid, avg(l_discount) AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey, CASE WHEN top >= 50 THEN 'clip' WHEN line > 0.08 AND top > 30 THEN 'line' WHEN top < 20 THEN 'correct' WHEN resid < 0.5 THEN 'subtract' ELSE 'reject' END AS route FROM e")
 def route_events(spark, sf):
-    """Strict order: clipped, line-dominated, separable, subtracted, rejected."""
-    q = F.col("l_quantity")
-    e = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(q).alias("top"), (F.sqrt(F.greatest(F.lit(0), F.avg(q * q) - 625)) / 25).alias("resid"), F.avg("l_discount").alias("line"))
+    """Strict order: clipped, line-dominated, separable, subtracted, rejected. Means are compared with limits, so their
+    doubles are added up in the order of the table's rows, whatever the partitions."""
+    q, row = F.col("l_quantity"), ["_file", "_row"]
+    so_far = Window.partitionBy("l_orderkey").orderBy(*row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    summed = lines.withColumns({"_squares": F.sum(q * q).over(so_far), "_discounts": F.sum("l_discount").over(so_far)})
+    mean = lambda total, c: ratio(F.max_by(total, F.struct(*row)), F.count(c))
+    e = summed.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(q).alias("top"), (F.sqrt(F.greatest(F.lit(0), mean("_squares", "l_quantity") - 625)) / 25).alias("resid"), mean("_discounts", "l_discount").alias("line"))
     e = e.join(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
     return e.select("o_orderkey", F.when(F.col("top") >= 50, "clip").when((F.col("line") > 0.08) & (F.col("top") > 30), "line").when(F.col("top") < 20, "correct").when(F.col("resid") < 0.5, "subtract").otherwise("reject").alias("route"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 
 import duckdb
@@ -155,3 +156,25 @@ def test_inner_cv_and_importance_of_the_queries(spark):
         assert r.auc == pytest.approx(sum(areas) / 2, abs=0.02)
     by = {r.feature: r["drop"] for r in catalog.QUERIES["feature_importance"](spark, sf).collect()}
     assert set(by) == set(FEATURES) and max(by.values()) > 0
+
+
+def test_route_events_adds_up_in_the_order_of_rows(spark, tmp_path):
+    """Means at the limit of 0.08 fall on either side of it by the order of their sums; files and splits are many."""
+    ways = sorted(set(itertools.permutations([0.1, 0.04, 0.08, 0.1, 0.05, 0.11])))  # their mean is 0.08
+    rows = [(i, 30.0 + k, way[k]) for k in range(6) for i, way in enumerate(ways)]
+    connection = duckdb.connect()
+    connection.sql("set threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(6):  # each file has a row of every order; later files are larger, so that Spark reads them first
+        values = ", ".join(f"({o}::BIGINT, {q}::DOUBLE, {d}::DOUBLE)" for o, q, d in rows[len(ways) * k : len(ways) * (k + 1)])
+        connection.sql(f"copy (select * from (values {values}) t(l_orderkey, l_quantity, l_discount) union all select 1000 + range, 20 + range / 7, 0.05 from range({2000 * k})) to '{tmp_path}/lineitem.parquet/{k}.parquet'")
+    connection.sql(f"copy (select range as o_orderkey from range({len(ways)})) to '{tmp_path}/orders.parquet'")
+    connection.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    connection.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    want = sorted(connection.sql(catalog.ORACLE_SQL["route_events"]).fetchall())
+    assert {route for _, route in want} == {"line", "reject"}
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")
+    try:
+        assert sorted(map(tuple, catalog.QUERIES["route_events"](spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
