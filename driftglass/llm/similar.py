@@ -1,4 +1,8 @@
-"""Texts of equal or similar sets of word shingles: every pair of a Jaccard similarity, by an exact prefix filter.
+"""Texts of equal or similar sets of word shingles: SimHash first, then every pair of a Jaccard similarity.
+
+The SimHash operator puts texts into classes by multi-index hashing, and each text is compared with the least one of its
+class: fingerprints alone prove nothing, as a much repeated filler can fix all their bits. Pairs of the similarity that
+lie beyond the fingerprints' radius are then found by an exact prefix filter, which compares no pair a second time.
 
 Each text's shingles are put in one fixed order, common ones last. Two sets of similarity s share one of their first
 floor((1 - s) n) + 1 shingles, so such texts meet in the bucket of a shingle, whatever else they hold; similarities are
@@ -27,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Stage, connected_components, free_names, text_key
 from .hashing import Hasher, mixed
 from .memory import trim
 
+#: Words of a SimHash shingle, and bits in which linked fingerprints differ at most: those of ``op8_simhash``.
+FINGERPRINT_WORDS, RADIUS = 4, 4
 #: Texts whose shingles are counted to find the common ones, and the most common ones that are put last. Any order
 #: gives the same links.
 SAMPLE, COMMON = 5_000, 100_000
@@ -264,9 +271,16 @@ def _hopeful(similarity: float):
     return tile
 
 
+def fingerprint_pairs(keyed: DataFrame) -> DataFrame:
+    """``(a, b)``: each text of ``keyed(node, text)`` that SimHash links to others, with the least one of its class."""
+    found = simhash.near_duplicates(keyed, "node", "text", FINGERPRINT_WORDS, RADIUS)
+    return found.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: float) -> DataFrame:
     """``(node, root)`` for every distinct text of ``keyed(node, text)`` that is linked to another."""
     spark = keyed.sparkSession
+    near = stage.save(fingerprint_pairs(keyed), "near")
     total = max(1, keyed.count())
     sample = keyed.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE))) == 0).select(shingle_sets(shingle)("text").alias("s"))
     often = sample.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c >= 8").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
@@ -276,10 +290,10 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
     led = stage.save(placed.mapInArrow(_led, _SHARED), "led")
     size, pos = F.shiftright("meta", 32).cast("int").alias("size"), F.col("meta").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos")
     leader = F.struct(F.col("lead").alias("node"), F.shiftright("lead_meta", 32).cast("int").alias("size"), F.col("lead_meta").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos")).alias("lead")
-    near = led.where("kind = 0").select("h", "node", size, pos, leader)
+    own = led.where("kind = 0").select("h", "node", size, pos, leader)
     leaders = led.where("kind = 1").groupBy("h").agg(F.first("lead").alias("lead"), F.first("lead_meta").alias("lead_meta"))
     apart = led.where("kind = 2").drop("lead", "lead_meta").join(leaders, "h").select("h", "node", size, pos, leader)
-    shared = near.union(apart)
+    shared = own.union(apart)
 
     def may(a: str, b: str) -> Column:  # holds in the bucket of the first shingle that a similar pair shares
         rest = F.least(F.col(f"{a}size") - F.col(f"{a}pos"), F.col(f"{b}size") - F.col(f"{b}pos"))
@@ -288,7 +302,9 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
     hopeful = shared.where((F.col("node") != F.col("lead.node")) & may("", "lead."))
     # of the leaders that a text meets, the one it meets most often; the others are met below if their classes differ
     met = hopeful.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("n"))
-    stars = stage.save(met.groupBy("node").agg(F.max(F.struct("n", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("node").alias("b")), "stars")
+    most = met.groupBy("node").agg(F.max(F.struct("n", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("node").alias("b"))
+    known = near.select(F.col("a").alias("low"), F.col("b").alias("high"))  # a is the least one
+    stars = stage.save(most.join(known, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti"), "stars")
 
     texts = stage.save(keyed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
@@ -298,7 +314,7 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
         both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         return both.where(jaccard(shingle)("x", "y") >= similarity).select("a", "b")
 
-    links = stage.save(verified(stars), "star-links")
+    links = stage.save(verified(near.union(stars)), "star-links")
 
     def classes_of(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """The rows of buckets that hold more than one class: with the largest one, all members and those outside it."""
@@ -328,14 +344,14 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
     leaders = weighted.groupBy("h").agg(*tops).select("h", F.explode(F.filter(F.array(*(f"l{r}" for r in range(LEADERS))), lambda x: x.isNotNull())).alias("l")).select("h", "l.*")
     side = lambda df, p: df.select("h", *(F.col(c).alias(f"{p}{c}") for c in ("node", "root", "size", "pos", "most")))
     met = side(left, "b_").join(leaders, "h").where((F.col("a_root") != F.col("b_root")) & may("a_", "b_"))
-    more = stage.save(fresh(met, stars), "leader-pairs")
+    more = stage.save(fresh(met, near, stars), "leader-pairs")
     links = stage.save(links.union(verified(more)), "leader-links")
     left = classes_of(left.select(bare.columns), links, "leaders")
     stage.drop("open-stars")
     few = left.where(F.col("minor") <= FEW)
     met = side(few.where("root <> most"), "a_").join(side(few, "b_"), "h")
     met = met.where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_most")) | (F.col("a_node") < F.col("b_node"))) & may("a_", "b_"))
-    pairs = stage.save(fresh(met, stars, more), "pairs")
+    pairs = stage.save(fresh(met, near, stars, more), "pairs")
     found = stage.save(verified(pairs), "pair-links")
     many = left.where(F.col("minor") > FEW)
     block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
@@ -345,7 +361,7 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
     asking = many.where("root <> most").select("h", mine("minor").alias("i"), every("n").alias("j"), F.lit(True).alias("asks"), *columns)
     asked = many.select("h", every("minor").alias("i"), mine("n").alias("j"), F.lit(False).alias("asks"), *columns)
     tiles = asking.union(asked).join(signs, "node").groupBy("h", "i", "j").applyInArrow(_hopeful(similarity), "a_node long, b_node long")
-    last = stage.save(fresh(tiles, stars, more, pairs), "tile-pairs")
+    last = stage.save(fresh(tiles, near, stars, more, pairs), "tile-pairs")
     tiled = stage.save(verified(last), "tile-links")
     stage.drop("open-leaders")
     stage.drop("texts")

@@ -24,7 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of similar texts: the smallest id's, one without an id only where none has one."""
+    """Keeps one row of each group of similar texts: the smallest id's, one without an id only where none has one.
+
+    SimHash links come first and are verified; a prefix filter adds the pairs beyond the fingerprints' radius."""
     return similar.one_of_each(docs, shingle=5, similarity=0.8)
 
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+import xxhash
 
 from pyspark.sql import functions as F
 
-from driftglass.llm import similar
+from driftglass.llm import simhash, similar, stages
 
 
 def test_similar_documents(spark):
@@ -117,3 +118,26 @@ def test_rows_are_not_named_by_a_hash(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in similar.one_of_each(docs).collect()), key=str)
     assert got == sorted(set(rows), key=str)
+
+
+def test_similar_texts_are_linked_by_simhash_first(spark, monkeypatch):
+    """The pairs compared first are those of the SimHash operator's classes; what it links wrongly stays apart."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=300)) for _ in range(4)]
+    texts += [t.replace(" ", "  ", 1) for t in texts[:3]] + [texts[0] + " end", ""]
+    texts += [" ".join(["-"] * 200 + rng.choices([f"v{i}" for i in range(500)], k=40)) for _ in range(4)]  # filler fixes the bits
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.select(F.xxhash64("text").alias("node"), "text")
+    node = [r.node for r in docs.orderBy("doc_id").select(F.xxhash64("text").alias("node")).collect()]
+    prints = [simhash.fingerprint_of(t.encode(), 4, xxhash.xxh64_intdigest) for t in texts]
+    near = lambda i, j: ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if near(i, j)) for i in range(len(texts))]
+    least = {r: min(n for n, x in zip(node, root, strict=True) if x == r) for r in root}
+    want = {(least[r], n) for n, r in zip(node, root, strict=True) if n != least[r]}
+    assert {tuple(r) for r in similar.fingerprint_pairs(keyed).collect()} == want and len(want) == 4 + 3
+    asked, operator = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: asked.append(1) or operator(*a, **k))
+    kept = {r.doc_id for r in stages.drop_near_duplicates(spark, docs, "").collect()}
+    assert asked and kept == {0, 1, 2, 3, 8, 9, 10, 11, 12}
