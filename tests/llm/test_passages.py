@@ -90,3 +90,25 @@ def test_cut_text_stays_readable(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert passages.dedup_digest(docs).count() == 0
+
+
+def test_query_returns_the_text_that_stays(spark, tmp_path):
+    """A reader sees what was removed: passages of 400 bytes or more are gone from the text, all else is still there."""
+    from driftglass.llm import queries
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage, short, accents, clean = prose(60), prose(49), "é" * 250, prose(80) + " né"
+    assert len(passage) >= 400 > len(short)
+    texts = [f"one {passage} 1", f"two {passage} 2", f"three {short} 3", f"four {short} 4", clean, None, f"ũ{accents}a", f"é{accents}b", *[passage + "tail"] * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_repeated_passages(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(_brute(texts, 400)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+    assert [passage in got[i].text for i in (0, 1)] == [False, False]
+    assert [got[i].text for i in (0, 1)] == ["one1", "two2"]
+    assert [got[i].text for i in (2, 3, 4, 5)] == [texts[2], texts[3], clean, ""]
+    assert {got[i].text for i in range(8, len(texts))} == {""}
+    # the span begins inside the character, which stays whole in the text and is cut in the bytes
+    assert (got[6].text, got[6].n_bytes - got[6].n_removed, got[7].text) == ("ũa", 2, "b")
