@@ -144,13 +144,14 @@ class Packer:
                     now = []
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from: Column | float = CONTEXT, limits: Limits = Limits(), pool: int = 256, spaced: bool = False) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", loss_from: Column | float = CONTEXT, limits: Limits = Limits(), pool: int = 256, spaced: bool = False, remembered: int | None = None) -> DataFrame:
     """One row per piece: id, its start in the example, its ids (little-endian unsigned 32-bit), the example's length,
-    and the sequence, offset and segment where it lies. ``tokenizer`` is the path of a tokenizers file."""
+    and the sequence, offset and segment where it lies. ``tokenizer`` is the path of a tokenizers file. Workers remember
+    words between tasks; with ``remembered``, about so many and only until the task ends."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        memo = memo_for(tokenizer, spaced)
+        memo = memo_for(tokenizer, spaced, remembered)
 
         def examples() -> Iterator[_Example]:
             for batch in batches:
@@ -173,6 +174,8 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
             if len(out) >= 2000:
                 yield _batch(out)
                 out = []
+        if remembered:
+            memo.forget()
         if out:
             yield _batch(out)
 

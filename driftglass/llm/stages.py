@@ -44,8 +44,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(docs)
 
 
+#: Words a worker remembers while it packs: idle workers count beside the stages that need none.
+REMEMBERED = 40_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of at most 4096 tokens, in the order of the mix: a table that was written and read
     again comes in the order of its files' sizes, so the positions are worked out again. A pool of one block moves no
     document by more than that."""
-    return packing.pack_texts(mixing.in_order(docs), public_tokenizers.path("word_bpe_49k.json"), end_id=2, pool=32).withColumnRenamed("id", "doc_id")
+    return packing.pack_texts(mixing.in_order(docs), public_tokenizers.path("word_bpe_49k.json"), end_id=2, pool=32, remembered=REMEMBERED).withColumnRenamed("id", "doc_id")

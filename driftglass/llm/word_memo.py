@@ -46,9 +46,9 @@ def _byte_letters() -> dict[int, str]:
 class _Generations(dict):
     """A dict that computes what it lacks, and keeps what was in use when it last grew too large."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
+    def __init__(self, compute: Callable[[str], bytes], most: int | None = None):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
@@ -58,10 +58,14 @@ class _Generations(dict):
         return found
 
     def trim(self) -> None:
-        if len(self) > MOST:
+        if len(self) > (self.most or MOST):
             self.older = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class _Table:
     """Sequences of ids, by number."""
@@ -88,9 +92,9 @@ def _joined(tables: list[_Table]) -> _Table:
 
 class WordMemo:
     """``spaced``: a word's ids depend on the space before it (byte-level vocabularies); else white space is dropped
-    and letters are lower-cased."""
+    and letters are lower-cased. ``most``: words remembered, by default ``MOST``."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         import public_tokenizers
         import regex
@@ -103,9 +107,16 @@ class WordMemo:
         self.special = [t["content"] for t in spec["added_tokens"]]
         split = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
         self.cut = regex.compile(split[0] if split else public_tokenizers.PATTERN).findall
-        self.pre_tokens = _Generations(self._pre_token)
-        self.after_space = _Generations(lambda piece: self._pre_token(" " + piece))
-        self.words = _Generations(self._word)
+        self.pre_tokens = _Generations(self._pre_token, most)
+        self.after_space = _Generations(lambda piece: self._pre_token(" " + piece), most)
+        self.words = _Generations(self._word, most)
+        self.memos = (self.pre_tokens, self.after_space, self.words)
+
+    def forget(self) -> None:
+        """Let all words go, so that an idle worker holds the vocabulary only."""
+        for memo in self.memos:
+            memo.forget()
+        trim()
 
     def _pre_token(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
@@ -161,7 +172,7 @@ class WordMemo:
             at = stop
 
     def _slice(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        for memo in (self.pre_tokens, self.after_space, self.words):
+        for memo in self.memos:
             memo.trim()
         alone = np.zeros(len(texts), bool)
         for mark in self.special:
@@ -190,11 +201,11 @@ class WordMemo:
         return ids, np.concatenate((np.zeros(1, np.int64), stops))[ends[1:]]
 
 
-_MEMO: dict[tuple[str, bool], WordMemo] = {}
+_MEMO: dict[tuple[str, bool, int | None], WordMemo] = {}
 
 
-def memo_for(path: str, spaced: bool) -> WordMemo:
-    """One for each vocabulary and Python worker; it outlives a task."""
-    if (path, spaced) not in _MEMO:
-        _MEMO[path, spaced] = WordMemo(path, spaced)
-    return _MEMO[path, spaced]
+def memo_for(path: str, spaced: bool, most: int | None = None) -> WordMemo:
+    """One for each vocabulary, size and Python worker; it outlives a task."""
+    if (path, spaced, most) not in _MEMO:
+        _MEMO[path, spaced, most] = WordMemo(path, spaced, most)
+    return _MEMO[path, spaced, most]

@@ -139,3 +139,21 @@ def test_packing_follows_the_mix(spark, tmp_path):
     order = [parts[p] for p in sorted(parts)]
     assert len(order) > 1 and sum(map(len, order)) == 1500
     assert all(max(x) < min(y) for x, y in zip(order, order[1:], strict=False))
+
+
+def test_packing_leaves_no_words_in_its_workers(spark):
+    """Workers idle on beside the next stage; what they remember counts for its executors' memory."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("qzx"), F.sha1(F.concat_ws("-", "id", F.lit(k)))) for k in range(20))).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).alias("n_chars"))
+    pieces = stages.pack(spark, docs, "").collect()
+    assert sum(len(r.ids) // 4 for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0) and len({r.doc_id for r in pieces}) == 400
+
+    def remembered(batches):
+        import pyarrow as pa
+
+        from driftglass.llm import word_memo
+
+        for _ in batches:
+            memos = [d for m in word_memo._MEMO.values() for g in (m.pre_tokens, m.after_space, m.words) for d in (g, g.older)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(w.lower().startswith("qzx") for d in memos for w in d)])], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(remembered, "n long").collect()} == {0}
