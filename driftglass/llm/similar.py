@@ -12,8 +12,8 @@ texts sends one row from there; the slice's other rows for it are dealt by slice
 
 In a bucket a text is first compared with one leader and, where that leaves more than one class, with ``LEADERS`` others
 that stand in many buckets. Where classes are left, all pairs of texts outside the largest class and of another class
-are compared: few of them as rows; many in tiles of bounded blocks, where
-bitmaps of the sets rule out most pairs before texts meet. The groups are therefore
+are compared: few of them as rows; many in tiles of bounded blocks. Bitmaps of the sets rule out most pairs before texts
+meet, and what they leave open brings its texts together in passes of bounded size. The groups are therefore
 the closure of all pairs of the similarity, up to clashes of 64-bit shingle hashes.
 
 Edge cases: null and blank texts are equal and have one empty shingle; a text below the width is one shingle; texts are
@@ -24,7 +24,9 @@ columns stay as they are, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ FEW = 8
 LEADERS = 16
 #: Texts on a side of a tile, and bits of their bitmaps.
 BLOCK, BITS = 1024, 2048
+#: Bytes of text that the pairs of a pass bring together, as a share of the bytes of all texts.
+SHARE = 1.5
 #: Bytes of text hashed together.
 SLICE = 1 << 21
 _SPACE = np.zeros(256, bool)
@@ -232,17 +236,31 @@ def jaccard(width: int):
 
 
 def bitmaps(width: int):
-    """For each text ``BITS`` bits: whether an odd number of its shingles falls on each. Two sets differ in no fewer
-    shingles than their bitmaps in bits."""
+    """For each text the number of its shingles and ``BITS`` bits: whether an odd number of them falls on each. Two sets
+    differ in no fewer shingles than their bitmaps in bits."""
 
     def of(texts: pa.Array) -> pa.Array:
-        out = []
+        out, sizes = [], [np.zeros(0, np.int64)]
         for first, stop, h, owner in shingles(texts, width):
             odd = np.bincount(owner * BITS + (h & (BITS - 1)), minlength=(stop - first) * BITS) & 1
             out += [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)]
-        return pa.array(out, pa.binary())
+            sizes.append(np.bincount(owner, minlength=stop - first))
+        trim()
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(sizes), pa.int32()), pa.array(out, pa.binary())], names=["size", "bits"])
+
+    return F.arrow_udf(of, "struct<size: int, bits: binary>")
+
 
-    return F.arrow_udf(of, "binary")
+def bits_allow(similarity: float):
+    """Whether two sets of these sizes and bitmaps can have the similarity."""
+
+    def of(size: pa.Array, bits: pa.Array, other_size: pa.Array, other_bits: pa.Array) -> pa.Array:
+        n, m = (x.to_numpy().astype(np.int64) for x in (size, other_size))
+        need = np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-6)
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(n), BITS // 64) for x in (bits, other_bits))
+        return pa.array((np.minimum(n, m) >= need) & (np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= n + m - 2 * need))
+
+    return F.arrow_udf(of, "boolean")
 
 
 def _hopeful(similarity: float):
@@ -308,13 +326,26 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
 
     texts = stage.save(keyed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose texts are similar; sets are made where the texts meet, as they are larger than the texts."""
-        one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-        return both.where(jaccard(shingle)("x", "y") >= similarity).select("a", "b")
-
-    links = stage.save(verified(near.union(stars)), "star-links")
+    signs = stage.save(texts.select("node", F.octet_length("text").alias("bytes"), bitmaps(shingle)("text").alias("sign")).select("node", "bytes", "sign.*"), "bitmaps")
+    held = signs.agg(F.sum("bytes")).first()[0] or 0
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose texts are similar, stored; sets are made where the texts meet, as they are larger than the
+        texts. A text comes once for each of its pairs, so they come in passes, whose shuffles are deleted in between."""
+        one = pairs.join(signs.select(F.col("node").alias("b"), "bytes", "size", "bits"), "b")
+        both = one.join(signs.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits")), "a")
+        open_ = stage.save(both.where(bits_allow(similarity)("size", "bits", "a_size", "a_bits")).select("a", "b", "bytes"), f"{name}-open")
+        n, brought = open_.agg(F.count("*"), F.sum("bytes")).first()
+        passes = math.ceil((brought or 0) / max(1.0, SHARE * held)) or min(1, n)
+        found = []
+        for k in range(passes):
+            some = open_.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k).select("a", "b")
+            one = some.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+            both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+            found.append(stage.save(both.where(jaccard(shingle)("x", "y") >= similarity).select("a", "b"), f"{name}-{k}"))
+        return reduce(DataFrame.union, found) if found else open_.select("a", "b")
+
+    links = verified(near.union(stars), "star-links")
 
     def classes_of(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """The rows of buckets that hold more than one class: with the largest one, all members and those outside it."""
@@ -345,26 +376,26 @@ def similar_texts(keyed: DataFrame, stage: Stage, shingle: int, similarity: floa
     side = lambda df, p: df.select("h", *(F.col(c).alias(f"{p}{c}") for c in ("node", "root", "size", "pos", "most")))
     met = side(left, "b_").join(leaders, "h").where((F.col("a_root") != F.col("b_root")) & may("a_", "b_"))
     more = stage.save(fresh(met, near, stars), "leader-pairs")
-    links = stage.save(links.union(verified(more)), "leader-links")
+    links = links.union(verified(more, "leader-links"))
     left = classes_of(left.select(bare.columns), links, "leaders")
     stage.drop("open-stars")
     few = left.where(F.col("minor") <= FEW)
     met = side(few.where("root <> most"), "a_").join(side(few, "b_"), "h")
     met = met.where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_most")) | (F.col("a_node") < F.col("b_node"))) & may("a_", "b_"))
     pairs = stage.save(fresh(met, near, stars, more), "pairs")
-    found = stage.save(verified(pairs), "pair-links")
+    found = verified(pairs, "pair-links")
     many = left.where(F.col("minor") > FEW)
     block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     mine, every = lambda n: F.pmod(F.xxhash64("node"), block(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), block(n) - 1))
-    signs = stage.save(texts.join(many.select("node").distinct(), "node", "left_semi").select("node", bitmaps(shingle)("text").alias("bits")), "bitmaps")
     columns = ("node", "root", "size", "pos")
     asking = many.where("root <> most").select("h", mine("minor").alias("i"), every("n").alias("j"), F.lit(True).alias("asks"), *columns)
     asked = many.select("h", every("minor").alias("i"), mine("n").alias("j"), F.lit(False).alias("asks"), *columns)
-    tiles = asking.union(asked).join(signs, "node").groupBy("h", "i", "j").applyInArrow(_hopeful(similarity), "a_node long, b_node long")
+    tiles = asking.union(asked).join(signs.select("node", "bits"), "node").groupBy("h", "i", "j").applyInArrow(_hopeful(similarity), "a_node long, b_node long")
     last = stage.save(fresh(tiles, near, stars, more, pairs), "tile-pairs")
-    tiled = stage.save(verified(last), "tile-links")
     stage.drop("open-leaders")
+    tiled = verified(last, "tile-links")
     stage.drop("texts")
+    stage.drop("bitmaps")
     return connected_components(links.union(found).union(tiled), stage)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -112,3 +113,17 @@ def test_query_returns_the_text_that_stays(spark, tmp_path):
     assert {got[i].text for i in range(8, len(texts))} == {""}
     # the span begins inside the character, which stays whole in the text and is cut in the bytes
     assert (got[6].text, got[6].n_bytes - got[6].n_removed, got[7].text) == ("ũa", 2, "b")
+
+
+def test_tables_are_deleted_before_the_texts_are_shuffled(spark):
+    """What is left to run for the stage's result joins the texts with their stored spans; nothing else is kept."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(_texts())], "doc_id long, text string")
+    before = {p.name for p in _shared(spark).iterdir()}
+    left = passages.without_passages(docs)
+    assert [p.name for d in _shared(spark).iterdir() if d.name not in before for p in d.iterdir()] == ["spans"]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Join") == 1
+
+
+def _shared(spark):
+    return Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftglass.llm import mixing, stages
+from driftglass.llm.common import Stage
 
 
 def corpus():
@@ -157,3 +159,15 @@ def test_packing_leaves_no_words_in_its_workers(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(w.lower().startswith("qzx") for d in memos for w in d)])], names=["n"])
 
     assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(remembered, "n long").collect()} == {0}
+
+
+def test_shuffle_files_go_when_a_table_stands(spark):
+    """They are deleted with the write and do not wait for the driver's garbage collection."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    Stage(spark, "test").save(spark.range(1000).repartition(4, "id"), "rows")
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before

@@ -141,3 +141,36 @@ def test_similar_texts_are_linked_by_simhash_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: asked.append(1) or operator(*a, **k))
     kept = {r.doc_id for r in stages.drop_near_duplicates(spark, docs, "").collect()}
     assert asked and kept == {0, 1, 2, 3, 8, 9, 10, 11, 12}
+
+
+def test_texts_meet_in_passes(spark, monkeypatch):
+    """However many pairs are open, a pass brings few texts together, and no link is lost between the passes."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=120)
+    family = []
+    for _ in range(15):
+        t = _edited(rng, words, base, 4)
+        family += [" ".join(t), " ".join(_edited(rng, words, t, 2))]
+    saved, save = [], similar.Stage.save
+    monkeypatch.setattr(similar.Stage, "save", lambda self, df, label: saved.append(label) or save(self, df, label))
+    monkeypatch.setattr(similar, "SHARE", 0.3)
+    assert _check_groups(spark, family) >= 15
+    assert "star-links-1" in saved
+
+
+def test_bitmaps_rule_out_no_similar_pair(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", "short text"]
+    for k, edits in ((30, 1), (100, 2), (400, 8), (1200, 30)):
+        for _ in range(4):
+            t = rng.choices(words, k=k)
+            texts += [" ".join(t), " ".join(_edited(rng, words, t, edits))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    signed = docs.select("i", "text", similar.bitmaps(5)("text").alias("s"))
+    other = signed.select(F.col("i").alias("j"), F.col("text").alias("other"), F.col("s").alias("o"))
+    both = signed.crossJoin(other).where("i < j")
+    judged = both.select((similar.jaccard(5)("text", "other") >= 0.8).alias("similar"), similar.bits_allow(0.8)("s.size", "s.bits", "o.size", "o.bits").alias("open"))
+    n = {tuple(r[:2]): r[2] for r in judged.groupBy("similar", "open").count().collect()}
+    assert (True, False) not in n and n[True, True] >= 8 and n[False, False] > 9 * n.get((False, True), 0)
